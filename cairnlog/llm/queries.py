@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP7_SQL, op7_chat
+from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .media import op10_media
+from .mixing import OP6_SQL, op6_mixing
 from .packing import op1_packing
 from .shards import op2_token_shards
 
@@ -15,9 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_token_shards": op2_token_shards,
+        "op6_mixing": op6_mixing,
+        "op7_chat": op7_chat,
+        "op9_exact_dedup": op9_exact_dedup,
         "op10_media": op10_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL}
