@@ -12,12 +12,14 @@ from .media import op10_media
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op1_packing
 from .shards import op2_token_shards
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_token_shards": op2_token_shards,
+        "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_chat": op7_chat,
         "op9_exact_dedup": op9_exact_dedup,
