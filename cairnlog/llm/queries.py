@@ -11,6 +11,7 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .media import op10_media
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op1_packing
+from .secrets import op3_secrets
 from .shards import op2_token_shards
 from .toxicity import op5_toxicity
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_token_shards": op2_token_shards,
+        "op3_secrets": op3_secrets,
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_chat": op7_chat,
