@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP7_SQL, op7_chat
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .jaccard import OP4_SQL, op4_jaccard
 from .media import op10_media
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op1_packing
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_token_shards": op2_token_shards,
         "op3_secrets": op3_secrets,
+        "op4_jaccard": op4_jaccard,
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_chat": op7_chat,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_jaccard": OP4_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL}
