@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP7_SQL, op7_chat
+from .context_mixing import op8_context_mixing
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .jaccard import OP4_SQL, op4_jaccard
 from .media import op10_media
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_chat": op7_chat,
+        "op8_context_mixing": op8_context_mixing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_media": op10_media,
     }
