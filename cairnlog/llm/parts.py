@@ -9,6 +9,10 @@ partition raises where it doesn't.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +55,19 @@ def rows_by_part(rows: DataFrame, row: str, name: str) -> str:
 
 def own_rows(uri: str, part: int) -> set[int]:
     return {i for r in read_part(uri, part, ["at"]) for i in r["at"]}
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame, row: str = "row") -> DataFrame:
+    """The input's rows whose numbers are among these, all columns, without a shuffle."""
+    wanted = rows_by_part(rows, row, "kept")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: set[int] | None = None
+        seen = 0
+        for b in it:
+            if mine is None:
+                mine = own_rows(wanted, TaskContext.get().partitionId())
+            yield b.filter(pa.array([seen + i in mine for i in range(b.num_rows)], pa.bool_()))
+            seen += b.num_rows
+
+    return docs.mapInArrow(run, docs.schema)

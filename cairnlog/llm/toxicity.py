@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import batches, documents, fold, id_and_text, stream
 
@@ -379,6 +380,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return id_and_text(docs.withColumn("row", F.monotonically_increasing_id()), "row").mapInArrow(run, TAGGED_DDL)
 
 
+def annotate(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """All columns of the input, and the score under this name; nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in it:
+            at = b.schema.get_field_index("text")
+            for first in range(0, b.num_rows, 512):
+                part = b.slice(first, 512)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                scores = pa.array([m.score(found) for found in m.tag(texts)], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, name])
+
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return score(docs, train(sample(docs, labels, most)))
 
