@@ -28,7 +28,7 @@ def segment_sizes(log: DataFrame) -> DataFrame:
 
 
 def from_cursor(log: DataFrame, segment: int, offset: int = 0) -> DataFrame:
-    """At or after a place; the bound on segment alone can be pushed to the source."""
+    """At or after a place; give the source from_segment too, and it reads no earlier file."""
     return log.where((F.col("segment") >= segment) & ((F.col("segment") > segment) | (F.col("offset") >= offset)))
 
 

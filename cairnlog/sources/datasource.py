@@ -6,9 +6,14 @@ Reading, one task for each segment. Options:
     path        folder of the store (or a URI)
     segments    comma-joined list to read instead of the folder's (a snapshot)
     since       segment:offset,... to start within segments
+    from_segment, to_segment
+                bounds on the segments that are read. They are options, not
+                pushed filters: the session keeps what a reader was told for
+                the next plan over the same DataFrame, whose filter may differ
     mode        strict (default): any damage but a torn tail of the last segment
-                raises; lazy: the same, but segments that a filter leaves out
-                aren't looked at; frames: damage is a row with its status
+                raises, and bounds leave no segment out; lazy: the same, but
+                segments beyond the bounds aren't looked at; frames: damage is
+                a row with its status
     verify_crc  true (default) or false
     payload     true (default), or false for null payloads
 
@@ -26,8 +31,7 @@ from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan,
-    GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
@@ -100,26 +104,7 @@ class LogReaderSource(DataSourceReader):
         self.only = [int(x) for x in options["segments"].split(",") if x] if "segments" in options else None
         since = (x.split(":") for x in options.get("since", "").split(",") if x)
         self.since = {int(n): int(at) for n, at in since}
-        self.low, self.high, self.among = 0, 1 << 62, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on segment choose the files in the lazy and frames modes; all
-        filters are given back, so Spark applies them too."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("segment",) and isinstance(getattr(f, "value", None), (int, tuple)):
-                if isinstance(f, EqualTo):
-                    self.low, self.high = max(self.low, f.value), min(self.high, f.value)
-                elif isinstance(f, GreaterThan):
-                    self.low = max(self.low, f.value + 1)
-                elif isinstance(f, GreaterThanOrEqual):
-                    self.low = max(self.low, f.value)
-                elif isinstance(f, LessThan):
-                    self.high = min(self.high, f.value - 1)
-                elif isinstance(f, LessThanOrEqual):
-                    self.high = min(self.high, f.value)
-                elif isinstance(f, In):
-                    self.among = set(f.value)
-            yield f
+        self.low, self.high = int(options.get("from_segment", 0)), int(options.get("to_segment", 1 << 62))
 
     def partitions(self) -> list[SegmentPart]:
         found = fs.list_segments(self.uri)
@@ -132,7 +117,7 @@ class LogReaderSource(DataSourceReader):
         last = found[-1][0] if found else None
         parts = [SegmentPart(n, p, n == last, self.since.get(n, 0)) for n, p, _ in found]
         if self.mode != "strict":
-            parts = [p for p in parts if self.low <= p.segment <= self.high and (self.among is None or p.segment in self.among)]
+            parts = [p for p in parts if self.low <= p.segment <= self.high]
         return parts or [SegmentPart(-1, "", True)]
 
     def read(self, partition: SegmentPart) -> Iterator[pa.RecordBatch]:
@@ -300,7 +285,6 @@ class FramedLog(DataSource):
 def register(spark) -> None:
     """Make the source known to a session."""
     spark.dataSource.register(FramedLog)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read_log(spark, path: str, mode: str = "strict", **options: str):
@@ -310,8 +294,11 @@ def read_log(spark, path: str, mode: str = "strict", **options: str):
 
     register(spark)
     frozen = [n for n, _, _ in fs.list_segments(path)]
-    read = spark.read.format("framedlog").option("path", path).option("segments", ",".join(map(str, frozen)))
+    fixed = {"path": path, "segments": ",".join(map(str, frozen))}
+
+    def load(**more: str):  # a reader keeps the options it is given, so each load has its own
+        return spark.read.format("framedlog").options(**fixed, **more).load()
+
     if mode == "strict":
-        frames = read.option("mode", "frames").option("payload", "false").load()
-        check_frames(frames, frozen[-1] if frozen else None)
-    return read.option("mode", "frames" if mode == "frames" else "lazy").options(**options).load()
+        check_frames(load(mode="frames", payload="false"), frozen[-1] if frozen else None)
+    return load(mode="frames" if mode == "frames" else "lazy", **options)
