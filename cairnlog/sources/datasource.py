@@ -302,3 +302,27 @@ def read_log(spark, path: str, mode: str = "strict", **options: str):
     if mode == "strict":
         check_frames(load(mode="frames", payload="false"), frozen[-1] if frozen else None)
     return load(mode="frames" if mode == "frames" else "lazy", **options)
+
+
+def segment_digests(spark, path: str):
+    """name, bytes and sha256 of each segment file, by name; files are hashed
+    as they stream, one task for some of them."""
+    import hashlib
+
+    found = [(fs.segment_name(n), p, s) for n, p, s in fs.list_segments(path)]
+    schema = pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = fs.filesystem(path)
+        for b in it:
+            rows = []
+            for name, at, size in zip(*(b.column(k).to_pylist() for k in range(3))):
+                h = hashlib.sha256()
+                with files.open_input_stream(at) as f:
+                    while chunk := f.read(BATCH_BYTES):
+                        h.update(chunk)
+                rows.append((name, size, h.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+    listed = spark.createDataFrame(found, "name string, path string, bytes long")
+    return listed.mapInArrow(run, "name string, bytes long, sha256 string").orderBy("name")
