@@ -21,14 +21,15 @@ def place() -> Column:
 
 
 def keydir(log: DataFrame) -> DataFrame:
-    """key, segment, offset, len, txid of each live key. Only places and sizes
-    move; the last record's type and size ride in the aggregate beside its place."""
-    touched = log.where("record_type <> 'Raw'").select("key", place().alias("at"), "record_type", "len", "txid")
+    """key, segment, offset, len, txid of each live key: the last record is a
+    put. Only places, sizes and numbers move, all of fixed width, so that both
+    steps of the aggregate are by hash."""
+    put = F.when(F.col("record_type") == "Put", place())
+    touched = log.where("record_type <> 'Raw'").select("key", place().alias("at"), put.alias("put_at"), "len", "txid")
     last = touched.groupBy("key").agg(
-        F.max("at").alias("at"), F.max_by("record_type", "at").alias("record_type"), F.max_by("len", "at").alias("len"),
-        F.max_by("txid", "at").alias("txid"),
-    )
-    live = last.where("record_type = 'Put'")
+        F.max("at").alias("at"), F.max("put_at").alias("put_at"), F.max_by("len", "at").alias("len"), F.max_by("txid", "at").alias("txid")
+    )
+    live = last.where("at = put_at")
     return live.select("key", F.shiftright("at", 36).alias("segment"), F.col("at").bitwiseAND(F.lit(OFFSETS - 1)).alias("offset"), "len", "txid")
 
 
