@@ -63,6 +63,14 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of the input has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 5; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5))
@@ -90,9 +98,23 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def release() -> None:
+    """Give back what earlier tasks of this worker have freed: allocators keep it otherwise."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def stream(batches_in: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of the named columns, a slice at a time
     so that only few long texts are Python objects at once."""
+    release()
     for b in batches_in:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)

@@ -27,23 +27,26 @@ def row_id(part: int, index: int) -> int:
     return (part << ROW_BITS) + index
 
 
-def write_by_part(rows: DataFrame, name: str) -> str:
-    """Rows with a column `part`; the folder's name."""
+def write_by_part(rows: DataFrame, name: str, gather: bool = True) -> str:
+    """Rows with a column `part`; the folder's name. Rows that the part's own
+    task makes lie together already and need no gathering."""
     path = shared_dir(rows.sparkSession, name)
-    folder = F.floor(F.col("part") / FOLDER_PARTS)
-    rows.withColumn("folder", folder).repartition("folder").write.partitionBy("folder").parquet(path)
+    rows = rows.withColumn("folder", F.floor(F.col("part") / FOLDER_PARTS))
+    (rows.repartition("part") if gather else rows).write.partitionBy("folder").parquet(path)
     return path
 
 
-def read_part(uri: str, part: int, columns: list[str]) -> list[dict]:
+def read_part(uri: str, part: int, columns: list[str], block: int | None = None) -> list[dict]:
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     files, at = filesystem(f"{uri}/folder={part // FOLDER_PARTS}")
     if files.get_file_info(at).type == fs.FileType.NotFound:
         return []
-    table = ds.dataset(at, filesystem=files, format="parquet").to_table(columns=columns, filter=ds.field("part") == part)
-    return table.to_pylist()
+    mine = ds.field("part") == part
+    if block is not None:
+        mine = mine & (ds.field("block") == block)
+    return ds.dataset(at, filesystem=files, format="parquet").to_table(columns=columns, filter=mine).to_pylist()
 
 
 def rows_by_part(rows: DataFrame, row: str, name: str) -> str:
@@ -58,7 +61,10 @@ def own_rows(uri: str, part: int) -> set[int]:
 
 
 def keep_rows(docs: DataFrame, rows: DataFrame, row: str = "row") -> DataFrame:
-    """The input's rows whose numbers are among these, all columns, without a shuffle."""
+    """The input's rows whose numbers are among these, all columns, without a
+    shuffle. The input must be a table read from files: what is read of its
+    columns doesn't change how its rows are dealt then. A row number beyond a
+    partition's end raises."""
     wanted = rows_by_part(rows, row, "kept")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,5 +75,7 @@ def keep_rows(docs: DataFrame, rows: DataFrame, row: str = "row") -> DataFrame:
                 mine = own_rows(wanted, TaskContext.get().partitionId())
             yield b.filter(pa.array([seen + i in mine for i in range(b.num_rows)], pa.bool_()))
             seen += b.num_rows
+        if mine and max(mine) >= seen:
+            raise ValueError("the input's partitions changed between two passes")
 
     return docs.mapInArrow(run, docs.schema)
