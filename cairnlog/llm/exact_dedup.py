@@ -31,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, documents, filesystem, id_and_text, materialise, shared_dir, stream
+from . import golomb
+from .common import batches, documents, id_and_text, materialise, stream
+from .parts import read_part, row_id, write_by_part
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = str.maketrans(UPPER, LOWER)
 #: Rows an owner is meant to hold, and the least number of owners.
 OWNER_ROWS, LEAST_OWNERS = 1 << 22, 64
-#: Partitions whose lists and bitmaps share a folder.
-FOLDER_PARTS = 64
 
 
 def normalise(text: str) -> bytes:
@@ -49,37 +49,6 @@ def fingerprint(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)
 
 
-def golomb_encode(values: np.ndarray) -> bytes:
-    """Ascending distinct unsigned 64-bit values: count, parameter's bits, the
-    gaps' quotients in unary and then their remainders."""
-    n = len(values)
-    if not n:
-        return b""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    mean = int(values[-1]) // n
-    bits = max(0, min(63, int(mean * 0.6931).bit_length() - 1))
-    quotient = (gaps >> np.uint64(bits)).astype(np.int64)
-    unary = np.ones(int(quotient.sum()) + n, np.uint8)
-    unary[np.cumsum(quotient + 1) - 1] = 0
-    shifts = np.arange(bits - 1, -1, -1, dtype=np.uint64)
-    rest = ((gaps[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
-    head = np.array([n, len(unary)], "<u8").tobytes() + bytes([bits])
-    return head + np.packbits(unary).tobytes() + np.packbits(rest).tobytes()
-
-
-def golomb_decode(data: bytes) -> np.ndarray:
-    if not data:
-        return np.zeros(0, np.uint64)
-    n, length = (int(x) for x in np.frombuffer(data, "<u8", 2))
-    bits, at = data[16], 17 + (length + 7) // 8
-    unary = np.unpackbits(np.frombuffer(data[17:at], np.uint8), count=length)
-    quotient = (np.diff(np.flatnonzero(unary == 0), prepend=-1) - 1).astype(np.uint64)
-    rest = np.unpackbits(np.frombuffer(data[at:], np.uint8), count=n * bits).reshape(n, bits)
-    weights = np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64)
-    gaps = (quotient << np.uint64(bits)) + (rest * weights).sum(axis=1, dtype=np.uint64)
-    return np.cumsum(gaps, dtype=np.uint64)
-
-
 SENT = pa.schema(
     [
         ("part", pa.int64()), ("owner", pa.int64()), ("rows", pa.int64()), ("mixed", pa.int64()),
@@ -96,10 +65,6 @@ MARKED = pa.schema(
 MARKED_DDL = "row long, doc_id long, text_sha256 string, print long, suspect binary"
 
 
-def _starts(owners: int) -> np.ndarray:
-    return np.array([(k << 64) // owners for k in range(owners)], np.uint64)
-
-
 def _send(docs: DataFrame, owners: int) -> DataFrame:
     """A row for each partition and owner: Golomb list of the fingerprints and
     a bitmap of those that the partition itself has twice."""
@@ -111,24 +76,24 @@ def _send(docs: DataFrame, owners: int) -> DataFrame:
             return
         mixed = int(np.bitwise_xor.reduce(prints).astype(np.int64))
         values, counts = np.unique(prints, return_counts=True)
-        cut = [*np.searchsorted(values, _starts(owners)).tolist(), len(values)]
-        base = _starts(owners)
+        cut = [*np.searchsorted(values, golomb.starts(owners)).tolist(), len(values)]
+        base = golomb.starts(owners)
 
         def rows() -> Iterator[tuple]:
             for k in range(owners):
                 a, b = cut[k], cut[k + 1]
                 if a < b:
                     own = np.packbits(counts[a:b] > 1).tobytes()
-                    yield part, k, len(prints), mixed, own, golomb_encode(values[a:b] - base[k])
+                    yield part, k, len(prints), mixed, own, golomb.encode(values[a:b] - base[k])
 
         yield from batches(rows(), SENT, lambda r: 64 + len(r[5]))
 
-    return docs.select("text").mapInArrow(run, SENT_DDL)
+    return docs.mapInArrow(run, SENT_DDL)
 
 
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     """An owner's bitmaps, one for each list."""
-    lists = [golomb_decode(x) for x in frame["list"]]
+    lists = [golomb.decode(x) for x in frame["list"]]
     values, counts = np.unique(np.concatenate(lists), return_counts=True)
     double = values[counts > 1]
     maps = []
@@ -142,20 +107,12 @@ def _mark(docs: DataFrame, sent: str, answers: str, owners: int) -> DataFrame:
     """Each row with its hash; the normalised bytes too where a bitmap says so."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.dataset as ds
-
         part = TaskContext.get().partitionId()
 
         def read(uri: str, columns: list[str]) -> dict:
-            files, at = filesystem(f"{uri}/folder={part // FOLDER_PARTS}")
-            from pyarrow import fs as arrow_fs
-
-            if files.get_file_info(at).type == arrow_fs.FileType.NotFound:
-                return {}
-            table = ds.dataset(at, filesystem=files, format="parquet").to_table(columns=columns, filter=ds.field("part") == part)
-            return {r["owner"]: r for r in table.to_pylist()}
+            return {r["owner"]: r for r in read_part(uri, part, columns)}
 
-        own, base = None, _starts(owners)
+        own, base = None, golomb.starts(owners)
         double: set[int] = set()
         seen = mixed = 0
 
@@ -166,13 +123,13 @@ def _mark(docs: DataFrame, sent: str, answers: str, owners: int) -> DataFrame:
                     own = read(sent, ["part", "owner", "rows", "mixed", "list"])
                     maps = read(answers, ["part", "owner", "bitmap"])
                     for k, r in own.items():
-                        values = golomb_decode(r["list"]) + base[k]
+                        values = golomb.decode(r["list"]) + base[k]
                         bits = np.unpackbits(np.frombuffer(maps[k]["bitmap"], np.uint8), count=len(values))
                         double.update(values[bits == 1].tolist())
                 data = normalise(text)
                 p = fingerprint(data)
                 signed = p - (1 << 64) if p >> 63 else p
-                yield (part << 33) + seen, doc_id, hashlib.sha256(data).hexdigest(), signed, data if p in double else None
+                yield row_id(part, seen), doc_id, hashlib.sha256(data).hexdigest(), signed, data if p in double else None
                 seen, mixed = seen + 1, mixed ^ p
             if own is not None:
                 first = next(iter(own.values()), {"rows": 0, "mixed": 0})
@@ -189,15 +146,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = id_and_text(docs)
     owners = max(LEAST_OWNERS, -(-docs.count() // OWNER_ROWS))
-    sent, answers = shared_dir(spark, "sent"), shared_dir(spark, "answers")
-    folder = F.floor(F.col("part") / FOLDER_PARTS)
-    lists = _send(docs, owners).withColumn("folder", folder)
-    lists.write.partitionBy("folder").parquet(sent)
-    sent_rows = spark.read.schema(f"{SENT_DDL}, folder long").parquet(sent)
-    replies = sent_rows.select("part", "owner", "own", "list").groupBy("owner").applyInPandas(
+    sent = write_by_part(_send(docs, owners), "sent", gather=False)
+    replies = spark.read.schema(SENT_DDL).parquet(sent).select("part", "owner", "own", "list").groupBy("owner").applyInPandas(
         _answer, "part long, owner long, bitmap binary"
     )
-    replies.withColumn("folder", folder).write.partitionBy("folder").parquet(answers)
+    answers = write_by_part(replies, "answers")
 
     marked = materialise(_mark(docs, sent, answers, owners), "marked")
     single = marked.where("suspect is null").select(
@@ -208,6 +161,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     groups = suspects.groupBy("print", "suspect").agg(
         F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size")
     )
+    # As a table, so that Spark may split a large group's suspects in the join.
+    groups = materialise(groups, "groups")
     verified = suspects.join(groups, ["print", "suspect"]).select(
         "row", "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("stays.row")).alias("kept"), "text_sha256",
