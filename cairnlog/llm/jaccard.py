@@ -10,15 +10,18 @@ are large enough; in each group the smallest set is the hub. If two members
 link by this subset, both link to the hub by it too, so edges to the hub lose
 no connection and are linear in the group.
 
-Large sets: elements are ordered, rare first, and linked sets must share one of
-their first s - ceil(s * percent / 100) + 1 elements. Elements whose hash lies
-in a low zone come first, by the number of sets that have them, counted over
-all sets; where the zone holds too few, the next hashes follow. Elements of one
-set alone need not be listed at all. Each list's hub is the member with the
-fewest elements of its own; all others are compared with it. What the hubs
-leave apart is compared across components in a second round of hubs, and then
-in full, within the lists and size limits, so no link is lost; pairs already
-connected need no comparison, since the result is the components.
+Large sets: linked sets must share one of their first s - ceil(s * percent /
+100) + 1 elements, in any order that is the same for all. Here elements that
+one set alone has come first, then those of few sets, then the rest, each by
+hash. What others have is found by an exchange: every block of documents sends
+its distinct elements, Golomb-coded, to the owners of hash ranges, and gets
+back bitmaps (another set has it; many have it). A set with too many elements
+of its own can link with nothing and is done; the others list the rest of
+their first elements. Each list's hub is the member with the fewest elements
+of its own; all others are compared with it. What the hubs leave apart is
+compared across components in a second round of hubs, and then in full, within
+the lists and what sizes and own elements allow, so no link is lost; pairs
+already connected need no comparison, since the result is the components.
 
 The size up to which subsets are enumerated is the one with the least rows to
 move, from the count of sets of each size.
@@ -34,22 +37,24 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import golomb
 from .common import batches, documents, id_and_text, materialise, stream
 from .components import components
-from .parts import own_rows, row_id, rows_by_part
+from .parts import own_rows, read_part, row_id, rows_by_part, write_by_part
 
 WORDS, PERCENT = 3, 90
-#: The zone of low hashes, as a multiple of the part of a set that must be looked at.
-ZONE = 1.6
-#: Rows that one listed element costs, against one subset; the largest size that may be enumerated.
-LISTED_COST, LARGEST_SMALL = 3, 40
-MEMO = 1_000_000
+#: What an exchanged and a listed element cost, against one subset; the largest size that may be enumerated.
+SENT_COST, LISTED_COST, LARGEST_SMALL = 0.3, 3, 40
+#: Text of a block, elements an owner is meant to hold, the least number of owners, and what counts as many sets.
+BLOCK_BYTES, OWNER_ITEMS, LEAST_OWNERS, MANY = 16 << 20, 1 << 21, 256, 8
+MEMO = 250_000
 ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
      0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64,
@@ -113,7 +118,7 @@ def boundary(counts: dict[int, int], percent: int) -> int:
         rows = 0.0
         for s, n in counts.items():
             rows += n * n_subsets(s, percent) if s <= upto else 0
-            rows += n * LISTED_COST * (1 + ZONE * (100 - percent) / 100 * s) if s >= b else 0
+            rows += n * (SENT_COST * s + LISTED_COST * (s - least_overlap(s, percent) + 1)) if s >= b else 0
         return rows
 
     return min(range(1, LARGEST_SMALL + 1), key=lambda b: (cost(b), b))
@@ -122,9 +127,15 @@ def boundary(counts: dict[int, int], percent: int) -> int:
 SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
 KEYS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("row", pa.int64()), ("size", pa.int32()), ("extra", pa.int32())])
 KEYS_DDL = "kind byte, key long, row long, size int, extra int"
-#: kind of a key row: an element of the zone (extra: the set's elements there), an element
-#: beyond it, a subset (extra: its size).
-IN_ZONE, BEYOND, SUBSET = 0, 1, 2
+#: kind of a key row: a listed element (extra: the set's elements that no other has), a subset (extra: its size).
+LISTED, SUBSET = 0, 1
+SENT = pa.schema(
+    [
+        ("part", pa.int64()), ("block", pa.int64()), ("owner", pa.int64()), ("shared", pa.binary()), ("many", pa.binary()),
+        ("list", pa.binary()),
+    ]
+)
+SENT_DDL = "part long, block long, owner long, shared binary, many binary, list binary"
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -142,14 +153,72 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc_id long, size long, high long, low long")
 
 
-def _keys(docs: DataFrame, firsts: str, n: int, percent: int, border: int) -> DataFrame:
-    """The subsets and listed elements of the sets in the side table."""
-    zone = np.uint64(min((1 << 64) - 1, int(ZONE * (100 - percent) / 100 * 2**64)))
+def _blocks(it: Iterator[pa.RecordBatch], firsts: str, part: int, n: int, border: int) -> Iterator[tuple[int, list]]:
+    """(block, rows): stretches of bounded text, with row number, text size and
+    set of each first document of a class. The same in every pass."""
+    mine: set[int] | None = None
+    held: list[tuple[int, np.ndarray]] = []
+    block, size = 0, 0
+    for k, (text,) in enumerate(stream(it, "text")):
+        if mine is None:
+            mine = own_rows(firsts, part)
+        if k in mine:
+            held.append((row_id(part, k), shingles(text, n)))
+        size += len(text)
+        if size >= BLOCK_BYTES:
+            yield block, held
+            held, block, size = [], block + 1, 0
+    if held:
+        yield block, held
+
+
+def _send(docs: DataFrame, firsts: str, n: int, border: int, owners: int) -> DataFrame:
+    """Each block's distinct elements of large sets, a list for each owner,
+    with bitmaps of those that several, or many, of the block's sets have."""
+    base = golomb.starts(owners)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+
+        def rows() -> Iterator[tuple]:
+            for block, held in _blocks(it, firsts, part, n, border):
+                large = [s for _, s in held if len(s) >= border]
+                if not large:
+                    continue
+                values, counts = np.unique(np.concatenate(large), return_counts=True)
+                cut = [*np.searchsorted(values, base).tolist(), len(values)]
+                for k in range(owners):
+                    a, b = cut[k], cut[k + 1]
+                    if a < b:
+                        c = counts[a:b]
+                        yield part, block, k, golomb.bitmap(c > 1), golomb.bitmap(c > MANY), golomb.encode(values[a:b] - base[k])
+
+        yield from batches(rows(), SENT, lambda r: 64 + len(r[5]))
+
+    return docs.mapInArrow(run, SENT_DDL)
+
+
+def _answer(frame: pd.DataFrame) -> pd.DataFrame:
+    """An owner's bitmaps for each list: do other sets have it, do many."""
+    lists = [golomb.decode(x) for x in frame["list"]]
+    ends = np.cumsum([len(x) for x in lists])
+    values, at, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    out = {"part": frame["part"], "block": frame["block"], "owner": frame["owner"]}
+    for name, least in (("shared", 1), ("many", MANY)):
+        own = np.concatenate([golomb.flags(m, len(x)) for m, x in zip(frame[name], lists)])
+        all_ = counts > least
+        all_[at[own]] = True
+        out[name] = [golomb.bitmap(x) for x in np.split(all_[at], ends[:-1])]
+    return pd.DataFrame(out)
+
+
+def _keys(docs: DataFrame, firsts: str, sent: str, answers: str, n: int, percent: int, border: int, owners: int) -> DataFrame:
+    """The subsets of small sets, the listed elements of large ones."""
     upto = (border - 1) * 100 // percent
+    base = golomb.starts(owners)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        mine: set[int] | None = None
         held: list[tuple] = []
         total = 0
 
@@ -163,27 +232,37 @@ def _keys(docs: DataFrame, firsts: str, n: int, percent: int, border: int) -> Da
             ]
             return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=KEYS)
 
-        for k, (text,) in enumerate(stream(it, "text")):
-            if mine is None:
-                mine = own_rows(firsts, part)
-            if k not in mine:
-                continue
-            s = shingles(text, n)
-            size, row = len(s), row_id(part, k)
-            if size <= upto:
-                for hashes, left in subsets(s, percent):
-                    held.append((SUBSET, hashes, row, size, left))
-                    total += len(hashes)
-            if size >= border:
-                inside = int(np.searchsorted(s, zone))
-                held.append((IN_ZONE, s[:inside], row, size, inside))
-                more = size - least_overlap(size, percent) + 1 - inside
-                if more > 0:
-                    held.append((BEYOND, s[inside : inside + more], row, size, inside))
-                total += inside + max(0, more)
-            if total >= 200_000:
-                yield batch()
-                held, total = [], 0
+        for block, sets in _blocks(it, firsts, part, n, border):
+            values, rank = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+            if any(len(s) >= border for _, s in sets):
+                lists = {r["owner"]: r["list"] for r in read_part(sent, part, ["owner", "list"], block)}
+                maps = {r["owner"]: r for r in read_part(answers, part, ["owner", "shared", "many"], block)}
+                some, ranks = [], []
+                for k in sorted(lists):
+                    v = golomb.decode(lists[k])
+                    some.append(v + base[k])
+                    ranks.append(golomb.flags(maps[k]["shared"], len(v)).astype(np.int8) + golomb.flags(maps[k]["many"], len(v)))
+                values, rank = np.concatenate(some), np.concatenate(ranks)
+            for row, s in sets:
+                size = len(s)
+                if size <= upto:
+                    for hashes, left in subsets(s, percent):
+                        held.append((SUBSET, hashes, row, size, left))
+                        total += len(hashes)
+                if size >= border:
+                    at = np.searchsorted(values, s)
+                    if at[-1] >= len(values) or (values[at] != s).any():
+                        raise ValueError("the input's partitions changed between two passes")
+                    r = rank[at]
+                    alone = int((r == 0).sum())
+                    first = size - least_overlap(size, percent) + 1 - alone
+                    if first > 0:
+                        order = np.argsort(r[r > 0], kind="stable")[:first]
+                        held.append((LISTED, s[r > 0][order], row, size, alone))
+                        total += len(order)
+                if total >= 200_000:
+                    yield batch()
+                    held, total = [], 0
         if held:
             yield batch()
 
@@ -266,6 +345,7 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
 def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """row (monotonically_increasing_id of the input), doc_id, n_shingles,
     component_id and stays (true for one row of each component)."""
+    spark = docs.sparkSession
     docs = id_and_text(docs)
     sets = materialise(_sets(docs, words), "sets")
     filled = sets.where("size > 0")
@@ -275,7 +355,14 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
     counts = {r["size"]: r["count"] for r in classes.where(F.col("size") <= 4 * LARGEST_SMALL).groupBy("size").count().collect()}
     border = boundary(counts, percent)
-    keys = materialise(_keys(docs, rows_by_part(classes, "row", "firsts"), words, percent, border), "keys")
+    firsts = rows_by_part(classes, "row", "firsts")
+    items = classes.where(F.col("size") >= border).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    owners = max(LEAST_OWNERS, -(-items // OWNER_ITEMS))
+    sent = write_by_part(_send(docs, firsts, words, border, owners), "sent", gather=False)
+    replies = spark.read.schema(SENT_DDL).parquet(sent).select("part", "block", "owner", "shared", "many", "list")
+    replies = replies.groupBy("owner").applyInPandas(_answer, "part long, block long, owner long, shared binary, many binary")
+    answers = write_by_part(replies, "answers")
+    keys = materialise(_keys(docs, firsts, sent, answers, words, percent, border, owners), "keys")
 
     # Small sets: to the smallest member of each subset's group.
     sub = keys.where(F.col("kind") == SUBSET).select("key", "row", "size", "extra")
@@ -285,35 +372,29 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     by_subset = sub.join(hubs, ["key", "extra"]).where(near & (F.col("row") != F.col("hub.row")))
     by_subset = by_subset.select(F.least("row", "hub.row").alias("a"), F.greatest("row", "hub.row").alias("b")).distinct()
 
-    # Large sets: elements that several sets have, the first ones of each set.
-    listed = keys.where(F.col("kind") != SUBSET)
-    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    known = listed.join(shared, "key")
-    mine = Window.partitionBy("row")
-    known = known.withColumn("alone", F.col("extra") - F.count(F.when(F.col("kind") == IN_ZONE, 1)).over(mine))
-    known = known.withColumn("nth", F.row_number().over(mine.orderBy("kind", "sets", "key")))
-    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    lists = known.where((F.col("kind") == BEYOND) | (F.col("nth") + F.col("alone") <= prefix))
-    lists = materialise(lists.select("key", "row", "size", "alone"), "lists")
+    # Large sets: lists of several members.
+    listed = keys.where(F.col("kind") == LISTED).select("key", "row", "size", F.col("extra").alias("alone"))
+    several = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    lists = materialise(listed.join(several, "key"), "lists")
 
     pairs = materialise(by_subset.unionAll(_to_hubs(lists.withColumn("root", F.col("row")), percent)).distinct(), "pairs")
     members = lists.select("row").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
-    several = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = lists.join(several, "key").select("row").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
     contents = materialise(_contents(docs, rows_by_part(members, "row", "members"), words), "contents")
 
     links = materialise(_linked(pairs, contents, percent), "links")
-    lists = lists.join(several, "key")
+    roots = components(links)
     for step in (_to_hubs, _across):
-        roots = components(links)
         at = lists.join(roots, lists.row == roots.node, "left")
         at = at.select("key", "row", "size", "alone", F.coalesce("root", "row").alias("root"))
-        more = step(at, percent).join(pairs, ["a", "b"], "left_anti")
-        more = materialise(more, "pairs")
+        more = materialise(step(at, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
         pairs = pairs.unionAll(more)
-        links = materialise(links.unionAll(_linked(more, contents, percent)), "links")
+        found = materialise(_linked(more, contents, percent), "links")
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            roots = components(links)
 
-    roots = components(links)
     joined = classes.join(roots, classes.row == roots.node, "left").select("high", "low", "none", "doc_id", "row", F.coalesce("root", "row").alias("root"))
     best = joined.groupBy("root").agg(F.min(F.struct("none", "doc_id", "row")).alias("best"))
     named = joined.join(best, "root").select("high", "low", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("stay"))
