@@ -21,6 +21,7 @@ ignored. Repeated ids: each row is scored by itself. Empty table: no rows.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -215,8 +216,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
         return Model({}, 0.0, np.zeros((2, 2)), 0.0, None, base)
     docs = [t.lower().split() for t, _ in rows]
     apart = _apart(docs)
-    every = {t: word_features(t) for t in set().union(*docs)}
-    short = {t: [f for f in fs if f[0] in "wb"] for t, fs in every.items()}
+    short = {t: [sys.intern(f) for f in word_features(t) if f[0] in "wb"] for t in set().union(*docs)}
     others = [i for i in apart if not marks[i]]
     left = [i for i in apart if marks[i]]
     plain = Counter(f for i in others for f in {f for t in set(docs[i]) for f in short[t]})
@@ -242,6 +242,8 @@ def train(rows: list[tuple[str, int]]) -> Model:
     rest = rest[:: max(1, -(-len(rest) // (WINDOWS - len(hit))))]
     windows = hit + rest
     types = {t: k for k, t in enumerate(sorted({t for w, _ in windows for t in w}))}
+    del short, docs, plain, count, toxic_word
+    every = {t: [sys.intern(f) for f in word_features(t)] for t in types}
     often = Counter(f for t in types for f in every[t])
     names = {f: k for k, f in enumerate(sorted(f for f, c in often.items() if c > 1 or f[0] == "w"))}
     of_type, of_name = [], []
@@ -251,6 +253,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
                 of_type.append(k)
                 of_name.append(names[f])
     of_type, of_name = np.array(of_type), np.array(of_name)
+    del every, often
     n = len(windows)
     ids = np.full((RUN, n), -1)
     gold = np.zeros((RUN, n))
