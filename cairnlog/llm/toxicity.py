@@ -21,6 +21,7 @@ ignored. Repeated ids: each row is scored by itself. Empty table: no rows.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches, documents, fold, id_and_text, stream
+from .common import batches, documents, fold, id_and_text, release, stream
 
 SAMPLE = 1200
 RUN = 64
@@ -314,19 +315,29 @@ def train(rows: list[tuple[str, int]]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[str, int]]:
-    """About `most` marked and UNMARKED times as many other training texts, by hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    """The model of about `most` marked and UNMARKED times as many other
+    training texts, by hash of the id. One task trains it, since the sample is
+    bounded, so that the driver holds the model alone."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marked = marked.agg(F.max((F.col("toxic") == 1).cast("int")).alias("mark")).where(fold() != 0)
     many = {r.mark: r.n for r in marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(many) < 2:
-        return [("", m) for m in many]
+        return train([("", m) for m in many])
     spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30))
     upto = {m: int((1 << 30) * min(1.0, most * (1 if m else UNMARKED) / n)) for m, n in many.items()}
     chosen = marked.where(spot < F.when(F.col("mark") == 1, upto[1]).otherwise(upto[0]))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(stream(it, "doc_id", "text", "mark"))
+        model = pickle.dumps(train([(text, mark) for _, text, mark in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+        release()
+
     # About (1 + UNMARKED) * most ids at the very most, so this side is small by construction.
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "mark").collect()
-    return [(r.text, r.mark) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "mark")
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else train([])
 
 
 TAGGED = pa.schema(
@@ -402,7 +413,7 @@ def annotate(docs: DataFrame, model: Model, name: str) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    return score(docs, train(sample(docs, labels, most)))
+    return score(docs, fit(docs, labels, most))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
