@@ -53,8 +53,8 @@ WORDS, PERCENT = 3, 90
 #: What an exchanged and a listed element cost, against one subset; the largest size that may be enumerated.
 SENT_COST, LISTED_COST, LARGEST_SMALL = 0.3, 3, 40
 #: Text of a block, elements an owner is meant to hold, the least number of owners, and what counts as many sets.
-BLOCK_BYTES, OWNER_ITEMS, LEAST_OWNERS, MANY = 16 << 20, 1 << 21, 256, 8
-MEMO = 250_000
+BLOCK_BYTES, OWNER_ITEMS, LEAST_OWNERS, MANY = 8 << 20, 1 << 21, 256, 8
+MEMO = 150_000
 ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
      0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64,
