@@ -218,6 +218,22 @@ def test_bit_counts_are_exact():
     assert one.sum() == context_mixing.ORDERS * 8 * 3 * 7
 
 
+def test_context_counts_are_exact_at_any_size(spark, monkeypatch):
+    """Rare words' contexts keep their own counts beside many others, and the split doesn't matter."""
+    r = np.random.default_rng(4)
+    words = sorted({bytes(w) for w in r.integers(97, 123, (60_000, 9), np.uint8)})
+    counts = context_mixing.count_bits([context_mixing.unit(w) for w in words], np.ones(len(words), np.int64))
+    asked = context_mixing.count_bits([b"zebra9x "], np.array([0]))
+    found = counts.paths_of(asked)[:, asked.at[context_mixing.Mixer.WORD]]
+    assert found[0].tolist() == [sum(w.startswith(b"zebra9x "[:k]) for w in words) for k in range(8)]
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30).select("doc_id", "text").localCheckpoint()
+    whole = {r.doc_id: r.score for r in context_mixing.score(docs).collect()}
+    monkeypatch.setattr(context_mixing, "BLOCK_WORDS", 2000)
+    monkeypatch.setattr(context_mixing, "RANGE_KEYS", 50_000)
+    assert {r.doc_id: r.score for r in context_mixing.score(docs).collect()} == pytest.approx(whole, rel=1e-6)
+
+
 def test_media_round_trip(spark, odd):
     stored = media.text_media(odd).collect()
     by = Counter()
