@@ -218,6 +218,19 @@ def test_bit_counts_are_exact():
     assert one.sum() == context_mixing.ORDERS * 8 * 3 * 7
 
 
+def test_mixer_learns_from_all_training_rows(spark):
+    """A long text alone mustn't train the mixer because its id is the lowest."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
+    long, short = "abcd ef " * 150_000, [f"other words {k} of their own {k * k}" for k in range(20)]
+
+    def scores(texts):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        return {texts[ids.index(r.doc_id)]: r.score for r in context_mixing.score(docs).collect()}
+
+    first, last = scores([long, *short]), scores([*short, long])
+    assert first == pytest.approx(last, rel=1e-6)
+
+
 def test_context_counts_are_exact_at_any_size(spark, monkeypatch):
     """Rare words' contexts keep their own counts beside many others, and the split doesn't matter."""
     r = np.random.default_rng(4)
