@@ -94,10 +94,9 @@ def schedule(spark: SparkSession, aims: DataFrame, block_words: int = BLOCK_WORD
     return ranked.select("slot", "place", "rank")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """row (monotonically_increasing_id of the input), doc_id, source, size,
-    source_size, target and taken, a row for each document."""
-    spark = docs.sparkSession
+def _laid_out(docs: DataFrame, weights: Sequence[int], most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with place, source_size, target and the words before them in their
+    source's shuffled order; and the targets."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
@@ -105,14 +104,47 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, blo
     )
     rows = materialise(rows, "sized")
     aims = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "aims")
+    same = F.col("l.source").eqNullSafe(F.col("r.source"))
+    rows = rows.alias("l").join(aims.alias("r"), same).select("l.*", "r.place", "r.source_size", "r.target")
+    group = F.conv(F.substring("shuffled", 1, RANGE_DIGITS), 16, 10).cast("long")
+    return materialise(_running(rows, "size", "place", group, ["shuffled", "row"], "begin").drop("shuffled"), "begun"), aims
+
+
+def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """row and times, for rows that stand at least once in the mix.
+
+    Every source gives its whole target, to the word: full rounds of its
+    documents and then as many words of the shuffled order as are left. One
+    document is cut by that end and stands rounded; the words it then lacks, or
+    has too many, are made up by the documents behind, or before, it as far as
+    they fit. A source with a positive target gives one document at least."""
+    rows = _laid_out(docs, weights, most)[0].where("size > 0")
+    rows = rows.withColumn("aim", F.greatest(F.round("target").cast("long"), F.lit(1)))
+    rows = rows.withColumn("part", F.expr("greatest(0L, least(size, aim % source_size - begin))"))
+    rows = rows.withColumn("is_cut", F.expr("part > 0 AND part < size"))
+    rows = rows.withColumn("times", F.expr("aim div source_size + CAST(2 * part >= size AS BIGINT)"))
+    cut = rows.where("is_cut").select(
+        "place", F.col("begin").alias("cut_begin"), F.expr("begin + size").alias("cut_end"), F.expr("part - IF(2 * part >= size, size, 0L)").alias("owed")
+    )
+    rows = rows.join(cut, "place", "left")
+    more = F.expr("begin >= cut_end AND 2 * (begin - cut_end) + size <= 2 * owed")
+    less = F.expr("begin + size <= cut_begin AND 2 * (cut_begin - begin - size) + size <= -2 * owed")
+    change = F.when(more, 1).when(less, -1).otherwise(0)
+    rows = rows.select("row", "place", "is_cut", (F.col("times") + change).alias("times"))
+    given = rows.groupBy("place").agg(F.sum("times").alias("given"))
+    rows = rows.join(given, "place").withColumn("times", F.expr("IF(given = 0 AND is_cut, 1L, times)").cast("int"))
+    return rows.where("times > 0").select("row", "times")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """row (monotonically_increasing_id of the input), doc_id, source, size,
+    source_size, target and taken, a row for each document."""
+    spark = docs.sparkSession
+    begun, aims = _laid_out(docs, weights, most)
     facts = aims.select("place", F.ceil(F.col("source_size") / block_words).alias("blocks"))
     turns = schedule(spark, aims, block_words).join(facts, "place").where(F.col("rank") < most * F.col("blocks"))
     turns = turns.groupBy("place", F.pmod("rank", "blocks").alias("block")).agg(F.count(F.lit(1)).alias("turns"))
 
-    same = F.col("l.source").eqNullSafe(F.col("r.source"))
-    rows = rows.alias("l").join(aims.alias("r"), same).select("l.*", "r.place", "r.source_size", "r.target")
-    group = F.conv(F.substring("shuffled", 1, RANGE_DIGITS), 16, 10).cast("long")
-    begun = materialise(_running(rows, "size", "place", group, ["shuffled", "row"], "begin").drop("shuffled"), "begun")
     end = F.col("begin") + F.col("size")
     blocks = F.sequence(F.floor(F.col("begin") / block_words), F.floor((end - 1) / block_words))
     parts = begun.where("size > 0").select("place", "row", "begin", "size", F.explode(blocks).alias("block"))

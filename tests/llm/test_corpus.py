@@ -253,6 +253,20 @@ def test_mix_of_odd_rows(spark, odd):
     assert len(got) == len(ROWS) and all(x.taken <= 3 * x.size for x in got)
 
 
+def test_pipeline_mix_gives_every_source_its_words(spark):
+    sizes = {"a": [100] * 200, "b": [250] * 200, "c": [20] * 3, "d": [7, 13], "e": [30] * 30, "f": [4000, 10, 10], "g": [1]}
+    rows = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate((s, n) for s, all_ in sizes.items() for n in all_)]
+    docs = corpus_pipeline.materialise(spark.createDataFrame(rows, "doc_id long, text string, source string"), "sources")
+    aims = {r.source: r.target for r in mixing.mix(docs).collect()}
+    got, seen = Counter(), Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        got[r.source] += len(r.text.split())
+        seen[r.doc_id] += 1
+    for s, n in sizes.items():
+        assert got[s] > 0 and abs(got[s] - aims[s]) <= max(n) / 2 + 1, (s, got[s], aims[s])
+    assert max(seen.values()) <= mixing.MOST
+
+
 # Chat.
 def test_fold_of_events(spark):
     log = [
