@@ -164,6 +164,18 @@ def test_long_candidates_are_seen_whole():
     assert seen >= 400
 
 
+def test_keys_without_digits_are_candidates():
+    for key in ("sk_live_AbCdEfGhIjKlMnOpQrStUvWx", "AbCdEfGh+IjKlMnOp/QrStUvWx==", "AbCdEfGhIjKlMnOpQrStUvWx"):
+        assert secrets.candidates(f"x {key} y") == [(2, 2 + len(key))]
+    for plain in ("one-two-three-four-five-six", "ONE_TWO_THREE_FOUR_FIVE", "Short-Mixed-Case"):
+        assert secrets.candidates(plain) == []
+
+
+def test_threshold_meets_the_recall_under_one_half(monkeypatch):
+    monkeypatch.setattr(secrets.Network, "score", lambda self, shown: np.full(len(shown), 0.3))
+    assert secrets.train([], most=300).threshold == 0.3
+
+
 def test_network_gradients():
     net = secrets.Network()
     shown = [w for t, _ in secrets.examples(6) for a, b in secrets.candidates(t) for w in secrets.windows(t, a, b)]
