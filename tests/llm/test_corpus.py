@@ -267,6 +267,12 @@ def test_pipeline_mix_gives_every_source_its_words(spark):
     assert max(seen.values()) <= mixing.MOST
 
 
+def test_pipeline_mix_keeps_a_source_of_one_long_document(spark):
+    rows = [(0, "w " * 50_000, "a"), (1, "w " * 9_000, "b"), (2, "w " * 50_000, "c")]
+    docs = corpus_pipeline.materialise(spark.createDataFrame(rows, "doc_id long, text string, source string"), "long")
+    assert {r.source for r in corpus_pipeline.mix_sources(spark, docs, "").collect()} == {"a", "b", "c"}
+
+
 # Chat.
 def test_fold_of_events(spark):
     log = [
