@@ -5,7 +5,9 @@ non-space to a space character, or from a letter to an ASCII mark, so a text
 can be cut there and the cuts encoded one by one. Cuts repeat, so each is
 encoded once and kept in a bounded memo; a text's ids are the joined ids of
 its cuts. Texts with runs of spaces, or with a space character other than the
-ASCII ones before a cut, are encoded whole: there what follows matters.
+ASCII ones before a cut, are encoded whole: there what follows matters. So are
+texts that hold a special token of the vocabulary, which is one id as in the
+library's plain call.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ import os
 
 import numpy as np
 
-#: Cuts kept by a worker; beyond this the memo starts anew, which only costs time.
-MEMO = 1_000_000
+#: Cuts, and characters of cuts, of a generation of the memo. A worker keeps two:
+#: a full one becomes the old one, from which what is used again moves on.
+MEMO, MEMO_CHARS = 300_000, 6 << 20
 NEWLINE = "\n"
 MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~\\")
 
@@ -28,10 +31,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = memo
         #: Ids of a space and the cut; None where the text must be encoded whole.
         self.memo: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.chars = 0
         self.line = self.whole([NEWLINE])[0]
         self.break_id = int(np.frombuffer(self.line, "<u4")[0]) if len(self.line) == 4 else None
 
@@ -60,16 +65,24 @@ class Encoder:
             self.memo[c] = None if c[-1:].isspace() else self.whole([" " + c])[0]
 
     def _need(self, cuts: set[str]) -> None:
+        if len(self.memo) > self.most or self.chars > MEMO_CHARS:
+            self.old, self.memo, self.chars = self.memo, {}, 0
         memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
         tails: dict[str, str] = {}
         new: set[str] = set()
+        old = self.old
         for c in cuts.difference(memo):
+            self.chars += len(c)
+            if c in old:
+                memo[c] = old[c]
+                continue
             if c[-1] in MARKS and c[:-1].isalpha():
-                tails[c] = c[:-1]
-                if c[:-1] not in memo:
-                    new.add(c[:-1])
+                stem = tails[c] = c[:-1]
+                if stem not in memo:
+                    if stem in old:
+                        memo[stem] = old[stem]
+                    else:
+                        new.add(stem)
             else:
                 new.add(c)
         self._learn(list(new))
@@ -79,15 +92,22 @@ class Encoder:
                 memo[c] = memo[stem] + mark[c[-1]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        memo, lines = self.memo, []
+        lines = []
         need: set[str] = set()
         for t in texts:
+            if any(x in t for x in self.special):
+                lines.append(None)
+                continue
             rows = [row.split(" ") for row in t.split(NEWLINE)]
+            if any("" in row for row in rows):
+                lines.append(None)
+                continue
             for row in rows:
                 need.update(row[1:])
-            lines.append(None if any("" in row for row in rows) else rows)
+            lines.append(rows)
         need.discard("")
         self._need(need)
+        memo = self.memo
         first = {}
         for rows in lines:
             if rows:

@@ -24,7 +24,6 @@ TEXTS = [t or "" for _, t in ROWS]
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(bpe.vocabulary())
-    t.encode_special_tokens = True
     return lambda text, end: np.array([*t.encode(text, add_special_tokens=False).ids, end], "<u4")
 
 
@@ -32,7 +31,15 @@ def plain():
 @settings(max_examples=150, deadline=None)
 def test_encoder_is_the_library(texts):
     e = bpe.encoder(bpe.vocabulary())
-    assert e.ids(texts) == e.whole(texts)
+    plain = Tokenizer.from_file(bpe.vocabulary())
+    assert e.ids(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_special_tokens_are_the_library_s(plain):
+    e = bpe.Encoder(bpe.vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "word<|endoftext|>\n\n<|endoftext|> it's", "<|endoftext", "x <|im_end|> y"]
+    assert [t + np.array([0], "<u4").tobytes() for t in e.ids(texts)] == [plain(t, 0).tobytes() for t in texts]
+    assert 50256 in np.frombuffer(e.ids(texts[:1])[0], "<u4")
 
 
 def test_encoder_starts_its_memo_anew():
