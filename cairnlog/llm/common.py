@@ -54,13 +54,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
-    """Only the columns an operator needs, so others can't clash; null text is empty."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        *(F.col(c) for c in more),
-    )
+def canonical() -> tuple[Column, Column]:
+    """Id and text as all operators take them; null text is empty."""
+    return F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+
+
+def id_and_text(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """Only the columns an operator needs, so others can't clash."""
+    return docs.select(*canonical(), *more)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import golomb
 from .common import batches, documents, id_and_text, materialise, stream
-from .parts import read_part, row_id, write_by_part
+from .parts import print_of, read_part, row_id, steady, write_by_part
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = str.maketrans(UPPER, LOWER)
@@ -58,11 +58,11 @@ SENT = pa.schema(
 SENT_DDL = "part long, owner long, rows long, mixed long, own binary, list binary"
 MARKED = pa.schema(
     [
-        ("row", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()),
-        ("print", pa.int64()), ("suspect", pa.binary()),
+        ("row", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("text_sha256", pa.string()),
+        ("finger", pa.int64()), ("suspect", pa.binary()),
     ]
 )
-MARKED_DDL = "row long, doc_id long, text_sha256 string, print long, suspect binary"
+MARKED_DDL = "row long, doc_id long, print long, text_sha256 string, finger long, suspect binary"
 
 
 def _send(docs: DataFrame, owners: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _mark(docs: DataFrame, sent: str, answers: str, owners: int) -> DataFrame:
 
         def rows() -> Iterator[tuple]:
             nonlocal own, seen, mixed
-            for doc_id, text in stream(it, "doc_id", "text"):
+            for doc_id, text, seen_as in stream(it, "doc_id", "text", "print"):
                 if own is None:
                     own = read(sent, ["part", "owner", "rows", "mixed", "list"])
                     maps = read(answers, ["part", "owner", "bitmap"])
@@ -129,22 +129,23 @@ def _mark(docs: DataFrame, sent: str, answers: str, owners: int) -> DataFrame:
                 data = normalise(text)
                 p = fingerprint(data)
                 signed = p - (1 << 64) if p >> 63 else p
-                yield row_id(part, seen), doc_id, hashlib.sha256(data).hexdigest(), signed, data if p in double else None
+                yield row_id(part, seen), doc_id, seen_as, hashlib.sha256(data).hexdigest(), signed, data if p in double else None
                 seen, mixed = seen + 1, mixed ^ p
             if own is not None:
                 first = next(iter(own.values()), {"rows": 0, "mixed": 0})
                 if (first["rows"], first["mixed"] % (1 << 64)) != (seen, mixed):
                     raise ValueError("the input's partitions changed between the two passes")
 
-        yield from batches(rows(), MARKED, lambda r: 200 + len(r[4] or b""))
+        yield from batches(rows(), MARKED, lambda r: 200 + len(r[5] or b""))
 
     return docs.mapInArrow(run, MARKED_DDL)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """row (a number for the input row), doc_id, keep_id, group_size, kept, text_sha256."""
+    """row (a number for the input row), doc_id, print (of the input row), keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    docs = id_and_text(docs)
+    steady(spark)
+    docs = id_and_text(docs, print_of().alias("print"))
     owners = max(LEAST_OWNERS, -(-docs.count() // OWNER_ROWS))
     sent = write_by_part(_send(docs, owners), "sent", gather=False)
     replies = spark.read.schema(SENT_DDL).parquet(sent).select("part", "owner", "own", "list").groupBy("owner").applyInPandas(
@@ -154,17 +155,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     marked = materialise(_mark(docs, sent, answers, owners), "marked")
     single = marked.where("suspect is null").select(
-        "row", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        "row", "doc_id", "print", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256",
     )
     suspects = marked.where("suspect is not null")
-    groups = suspects.groupBy("print", "suspect").agg(
+    groups = suspects.groupBy("finger", "suspect").agg(
         F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size")
     )
     # As a table, so that Spark may split a large group's suspects in the join.
     groups = materialise(groups, "groups")
-    verified = suspects.join(groups, ["print", "suspect"]).select(
-        "row", "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size",
+    verified = suspects.join(groups, ["finger", "suspect"]).select(
+        "row", "doc_id", "print", F.col("stays.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("stays.row")).alias("kept"), "text_sha256",
     )
     return single.unionByName(verified)

@@ -17,11 +17,21 @@ hash. What others have is found by an exchange: every block of documents sends
 its distinct elements, Golomb-coded, to the owners of hash ranges, and gets
 back bitmaps (another set has it; many have it). A set with too many elements
 of its own can link with nothing and is done; the others list the rest of
-their first elements. Each list's hub is the member with the fewest elements
-of its own; all others are compared with it. What the hubs leave apart is
-compared across components in a second round of hubs, and then in full, within
-the lists and what sizes and own elements allow, so no link is lost; pairs
-already connected need no comparison, since the result is the components.
+their first elements. Each list's hub is the member
+with the fewest elements of its own; all others are compared with it, which is
+linear in the list. Of what the hubs leave apart, differences are listed: two
+sets x and y that link, of which one doesn't link to the hub h, share at least
+(|x - h| + |y - h| - d) / 2 elements of their differences from h, the elements
+that only one of x and h has, where |x - h| counts them and d is the largest
+difference that sets of these sizes may have. So in place of what a large
+group has in common, members are listed by their rarest differences, as many
+as the bound needs for each band of the other's distance; those lists have
+hubs again, and so on while comparing them in full would cost too much. Of
+lists with few pairs for their members all pairs in different components that
+sizes and own elements allow are compared, so no link is lost; pairs already connected need no comparison,
+since the result is the components.
+
+Every pass checks that it sees the rows of the first one (parts.py).
 
 The size up to which subsets are enumerated is the one with the least rows to
 move, from the count of sets of each size.
@@ -34,6 +44,7 @@ document. Null ids come last in "smallest". Empty table: no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -41,26 +52,31 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import batches, documents, id_and_text, materialise, stream
+from .common import batches, documents, id_and_text, materialise, release, stream
 from .components import components
-from .parts import own_rows, read_part, row_id, rows_by_part, write_by_part
+from .parts import Own, ends, print_of, read_part, row_id, rows_by_part, steady, write_by_part
 
 WORDS, PERCENT = 3, 90
 #: What an exchanged and a listed element cost, against one subset; the largest size that may be enumerated.
 SENT_COST, LISTED_COST, LARGEST_SMALL = 0.3, 3, 40
 #: Text of a block, elements an owner is meant to hold, the least number of owners, and what counts as many sets.
 BLOCK_BYTES, OWNER_ITEMS, LEAST_OWNERS, MANY = 8 << 20, 1 << 21, 256, 8
-MEMO = 150_000
+BATCH_CHARS = 1 << 18
+#: Pairs of a list, for each of its members, above which their differences are listed first; so often at most.
+PAIRS, LEVELS = 8, 4
 ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
      0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64,
 )
 
-_words: dict[bytes, int] = {}
+#: A value for each byte, none for the space characters that part words, and the powers it is multiplied with.
+_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+_VALUES[[9, 10, 11, 12, 13, 32]] = 0
+_POWERS = np.cumprod(np.full(256, ODD[0]), dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -70,21 +86,64 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a byte string, and where they start."""
+    x = _VALUES[np.frombuffer(data, np.uint8)]
+    inside = x != 0
+    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    sizes = np.diff(np.append(starts, len(x)))
+    place = np.arange(starts[0], len(x)) - np.repeat(starts, sizes)
+    powers = _POWERS if place.max() < len(_POWERS) else np.cumprod(np.full(int(place.max()) + 1, ODD[0]), dtype=np.uint64)
+    return mixed(np.add.reduceat(x[starts[0] :] * powers[place], starts - starts[0])), starts
+
+
+def shingle_sets(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
+    """For each text the ascending distinct hashes of its word n-grams; words
+    are lower-cased A-Z. All texts are hashed at once."""
+    datas = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    h, starts = word_hashes(b" ".join(datas))
+    edges = np.cumsum([0, *(len(d) + 1 for d in datas)])
+    edges = np.searchsorted(starts, edges).tolist()
+    wide = max(0, len(h) - n + 1)
+    total = np.full(wide, n, np.uint64)
+    for j in range(n):
+        total += h[j : j + wide] * ODD[j % len(ODD)]
+        total = total if j % len(ODD) < len(ODD) - 1 else mixed(total)
+    total = mixed(total)
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        if 0 < b - a < n:
+            items = mixed((h[a:b] * ODD[np.arange(b - a) % len(ODD)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
+        else:
+            items = np.sort(total[a : max(a, b - n + 1)])
+            if len(items) > 1:
+                items = items[np.append(True, items[1:] != items[:-1])]
+        out.append(items)
+    return out
+
+
 def shingles(text: str, n: int = WORDS) -> np.ndarray:
-    """Ascending distinct hashes of the word n-grams; words are lower-cased A-Z."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_words) > MEMO:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(h))
-    total = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        total = mixed(total + h[j : len(h) - k + 1 + j]) * ODD[j % len(ODD)]
-    return np.unique(mixed(total))
+    return shingle_sets([text], n)[0]
+
+
+def with_sets(rows: Iterator[tuple], n: int) -> Iterator[tuple]:
+    """Rows that end in a text with its set in place of it; texts are hashed
+    together up to a bounded size, and rows without a text pass as they are."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[-1] or "")
+        if size >= BATCH_CHARS or len(held) >= 4096:
+            yield from _with_sets(held, n)
+            held, size = [], 0
+    yield from _with_sets(held, n)
+
+
+def _with_sets(held: list[tuple], n: int) -> Iterator[tuple]:
+    sets = iter(shingle_sets([r[-1] for r in held if r[-1] is not None], n))
+    return ((*r[:-1], next(sets) if r[-1] is not None else None) for r in held)
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -124,7 +183,7 @@ def boundary(counts: dict[int, int], percent: int) -> int:
     return min(range(1, LARGEST_SMALL + 1), key=lambda b: (cost(b), b))
 
 
-SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
+SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("size", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
 KEYS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("row", pa.int64()), ("size", pa.int32()), ("extra", pa.int32())])
 KEYS_DDL = "kind byte, key long, row long, size int, extra int"
 #: kind of a key row: a listed element (extra: the set's elements that no other has), a subset (extra: its size).
@@ -143,33 +202,39 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         part = TaskContext.get().partitionId()
 
         def rows() -> Iterator[tuple]:
-            for k, (doc_id, text) in enumerate(stream(it, "doc_id", "text")):
-                s = shingles(text, n)
+            for k, (doc_id, seen, s) in enumerate(with_sets(stream(it, "doc_id", "print", "text"), n)):
                 h = xxhash.xxh3_128_digest(s.tobytes())
-                yield row_id(part, k), doc_id, len(s), *np.frombuffer(h, "<i8").tolist()
+                yield row_id(part, k), doc_id, seen, len(s), *np.frombuffer(h, "<i8").tolist()
 
         yield from batches(rows(), SETS)
+        release()
 
-    return docs.mapInArrow(run, "row long, doc_id long, size long, high long, low long")
+    return docs.mapInArrow(run, "row long, doc_id long, print long, size long, high long, low long")
 
 
 def _blocks(it: Iterator[pa.RecordBatch], firsts: str, part: int, n: int, border: int) -> Iterator[tuple[int, list]]:
     """(block, rows): stretches of bounded text, with row number, text size and
     set of each first document of a class. The same in every pass."""
-    mine: set[int] | None = None
     held: list[tuple[int, np.ndarray]] = []
     block, size = 0, 0
-    for k, (text,) in enumerate(stream(it, "text")):
-        if mine is None:
-            mine = own_rows(firsts, part)
-        if k in mine:
-            held.append((row_id(part, k), shingles(text, n)))
-        size += len(text)
+    for row, chars, s in with_sets(_chosen(it, firsts, part), n):
+        if s is not None:
+            held.append((row, s))
+        size += chars
         if size >= BLOCK_BYTES:
             yield block, held
             held, block, size = [], block + 1, 0
     if held:
         yield block, held
+    release()
+
+
+def _chosen(it: Iterator[pa.RecordBatch], wanted: str, part: int) -> Iterator[tuple]:
+    """row, size and text (null where the side table doesn't name the row)."""
+    mine, k = Own(wanted, part), -1
+    for k, (text, seen) in enumerate(stream(it, "text", "print")):
+        yield row_id(part, k), len(text), text if mine.has(k, seen) else None
+    mine.done(k + 1)
 
 
 def _send(docs: DataFrame, firsts: str, n: int, border: int, owners: int) -> DataFrame:
@@ -252,7 +317,7 @@ def _keys(docs: DataFrame, firsts: str, sent: str, answers: str, n: int, percent
                 if size >= border:
                     at = np.searchsorted(values, s)
                     if at[-1] >= len(values) or (values[at] != s).any():
-                        raise ValueError("the input's partitions changed between two passes")
+                        raise ValueError("a set isn't the one that was sent")
                     r = rank[at]
                     alone = int((r == 0).sum())
                     first = size - least_overlap(size, percent) + 1 - alone
@@ -276,12 +341,10 @@ def _contents(docs: DataFrame, wanted: str, n: int) -> DataFrame:
         part = TaskContext.get().partitionId()
 
         def rows() -> Iterator[tuple]:
-            mine: set[int] | None = None
-            for k, (text,) in enumerate(stream(it, "text")):
-                if mine is None:
-                    mine = own_rows(wanted, part)
-                if k in mine:
-                    yield row_id(part, k), shingles(text, n).tobytes()
+            for row, _, s in with_sets(_chosen(it, wanted, part), n):
+                if s is not None:
+                    yield row, s.tobytes()
+            release()
 
         yield from batches(rows(), pa.schema([("row", pa.int64()), ("items", pa.binary())]), lambda r: 64 + len(r[1]))
 
@@ -319,43 +382,137 @@ def _pair(one: str, other: str) -> list:
     return [F.least(f"{one}.row", f"{other}.row").alias("a"), F.greatest(f"{one}.row", f"{other}.row").alias("b")]
 
 
-def _to_hubs(lists: DataFrame, percent: int) -> DataFrame:
-    """In each list, the hub (fewest own elements for its size) of each
-    component with the list's hub: linear in the members."""
+def _hubs(lists: DataFrame) -> DataFrame:
+    """Each list's hub: the member with the fewest own elements for its size."""
     ratio = F.col("alone") / F.col("size")
-    ranked = lists.groupBy("key", "root").agg(F.min(F.struct(ratio.alias("ratio"), "row", "size", "alone")).alias("m"))
-    hubs = ranked.groupBy("key").agg(F.min("m").alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = ranked.join(hubs, "key").select("m.*", F.struct(F.col("h.row").alias("row"), F.col("h.size").alias("size"), F.col("h.alone").alias("alone")).alias("hub"))
-    pairs = pairs.select(F.struct("row", "size", "alone").alias("member"), "hub").where("member.row <> hub.row")
+    return lists.groupBy("key").agg(F.min(F.struct(ratio.alias("ratio"), "row", "size", "alone")).alias("hub"))
+
+
+def _to_hubs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each member with its list's hub: linear in the members."""
+    pairs = lists.join(_hubs(lists), "key").where("row <> hub.row")
+    pairs = pairs.select(F.struct("row", "size", "alone").alias("member"), "hub")
     return pairs.where(_near("member", "hub", percent)).select(*_pair("member", "hub")).distinct()
 
 
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists with members of several components, with each member's root,
+    and whether the list has many pairs across components."""
+    at = lists.join(roots, lists.row == roots.node, "left")
+    at = at.select("key", "row", "size", "alone", F.coalesce("root", "row").alias("root"))
+    n = at.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key")
+    n = n.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    pairs = (F.col("n") * F.col("n") - F.col("same")) / 2
+    several = n.where(pairs > 0).select("key", (pairs > PAIRS * F.col("n")).alias("heavy"))
+    return materialise(at.join(several, "key"), "open")
+
+
+def _by_size(lists: DataFrame, percent: int) -> DataFrame:
+    """Lists of members that are alike in size: classes are as wide as links
+    reach, and each list has two of them, so those that link share a list."""
+    nth = F.floor(F.log("size") / F.lit(float(np.log(100 / percent) + 1e-9))).cast("int")
+    lists = lists.withColumn("nth", F.explode(F.array(nth, nth + 1)))
+    return lists.select(F.xxhash64("key", "nth").alias("key"), "row", "size", "alone", "root")
+
+
+APART = pa.schema(
+    [
+        ("hub", pa.int64()), ("row", pa.int64()), ("size", pa.int32()), ("alone", pa.int32()), ("apart", pa.int32()),
+        ("linked", pa.bool_()), ("items", pa.list_(pa.int64())),
+    ]
+)
+APART_DDL = "hub long, row long, size int, alone int, apart int, linked boolean, items array<long>"
+
+
+def _apart(lists: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """For each member of a list and its hub: whether they link, and the
+    elements that only one of them has."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for hub, row, size, alone, x, y in stream(it, "hub", "row", "size", "alone", "x", "y"):
+                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                items = np.setxor1d(p, q, assume_unique=True)
+                linked = 100 * (len(p) + len(q) - len(items)) >= percent * (len(p) + len(q) + len(items))
+                yield hub, row, size, alone, len(items), linked, items.astype(np.int64)
+
+        yield from batches(rows(), APART, lambda r: 64 + 8 * r[4])
+
+    pairs = lists.join(_hubs(lists), "key").where("row <> hub.row").select(F.col("hub.row").alias("hub"), "row", "size", "alone").distinct()
+    hubs = contents.select(F.col("row").alias("hub"), F.col("items").alias("y"))
+    members = contents.select("row", F.col("items").alias("x"))
+    return pairs.join(members, "row").join(hubs, "hub").mapInArrow(run, APART_DDL)
+
+
+def _by_difference(apart: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Lists by elements of the members' differences from their hub: any two
+    members that link and lie in different components share a list."""
+    at = apart.join(roots, apart.row == roots.node, "left").withColumn("root", F.coalesce("root", "row")).drop("node")
+    at = at.withColumn("band", F.floor(F.log("apart") / F.lit(float(np.log(1.25)))).cast("int"))
+    bands = at.groupBy("hub", "band").agg(
+        F.min("apart").alias("lo"), F.max("apart").alias("hi"), F.max("size").cast("long").alias("most"), F.min("root").alias("r0"),
+        F.max("root").alias("r1"),
+    )
+    # One row for each hub, of as many bands as distances have.
+    bands = bands.groupBy("hub").agg(
+        F.collect_list(F.struct("band", "lo", "hi", "most", "r0", "r1")).alias("bands"), F.min("r0").alias("r0"), F.max("r1").alias("r1")
+    ).where("r0 <> r1").select("hub", "bands")
+
+    def furthest(other) -> Column:
+        size = F.least(other["most"], F.floor(F.col("size") * 100 / percent))
+        return F.floor((100 - percent) * (F.col("size") + size) / (100 + percent))
+
+    def within(other) -> Column:
+        near = (other["lo"] - F.col("apart") <= furthest(other)) & (F.col("apart") - other["hi"] <= furthest(other))
+        return near & ~((other["r0"] == F.col("root")) & (other["r1"] == F.col("root")))
+
+    # Of each row only the bands in which a member of another component could link to it.
+    at = at.join(bands, "hub").withColumn("bands", F.filter("bands", within)).where(F.size("bands") > 0)
+    at = materialise(at, "banded")
+    # Elements that members of one component alone have can't be shared by a pair in question.
+    each = at.select("hub", "row", "root", F.explode("items").alias("item"))
+    shared = each.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    shared = shared.where("r0 <> r1").select("hub", "item", "n")
+    listed = each.join(shared, ["hub", "item"]).groupBy("hub", "row").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("listed"))
+    at = at.drop("items", "root", "linked").join(listed, ["hub", "row"])
+    at = at.withColumn("other", F.explode("bands"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("apart") + F.col("other.lo") - furthest(F.col("other"))) / 2))
+    first = (F.size("listed") - need + 1).cast("int")
+    at = at.withColumn("first", first).where("first > 0")
+    item = F.explode(F.slice("listed", F.lit(1), F.col("first"))).alias("of")
+    at = at.select("hub", "row", "size", "alone", F.least("band", "other.band").alias("b0"), F.greatest("band", "other.band").alias("b1"), item)
+    lists = at.select(F.xxhash64("hub", "of.item", "b0", "b1").alias("key"), "row", "size", "alone")
+    several = lists.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("key")
+    return materialise(lists.join(several, "key"), "lists")
+
+
 def _across(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list's members that lie in different components."""
-    many = lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = lists.join(many, "key")
-    x, y = left.alias("x"), left.alias("y")
+    x, y = lists.alias("x"), lists.alias("y")
     return (
         x.join(y, F.col("x.key") == F.col("y.key"))
         .where((F.col("x.root") < F.col("y.root")) & _near("x", "y", percent))
-        .select(*_pair("x", "y")).distinct()
+        .select(*_pair("x", "y"))
     )
 
 
 def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """row (monotonically_increasing_id of the input), doc_id, n_shingles,
-    component_id and stays (true for one row of each component)."""
+    """row (monotonically_increasing_id of the input), doc_id, print (of the
+    input row), n_shingles, component_id and stays (true for one row of each
+    component)."""
     spark = docs.sparkSession
-    docs = id_and_text(docs)
+    steady(spark)
+    docs = id_and_text(docs, print_of().alias("print"))
     sets = materialise(_sets(docs, words), "sets")
     filled = sets.where("size > 0")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "print"))
     classes = filled.groupBy("high", "low").agg(first.alias("first"), F.first("size").alias("size"))
-    classes = materialise(classes.select("high", "low", "size", "first.none", "first.doc_id", "first.row"), "classes")
+    classes = materialise(classes.select("high", "low", "size", "first.none", "first.doc_id", "first.row", "first.print"), "classes")
+    last = materialise(ends(sets), "ends")
 
     counts = {r["size"]: r["count"] for r in classes.where(F.col("size") <= 4 * LARGEST_SMALL).groupBy("size").count().collect()}
     border = boundary(counts, percent)
-    firsts = rows_by_part(classes, "row", "firsts")
+    firsts = rows_by_part(classes.select("row", "print").unionByName(last), "firsts")
     items = classes.where(F.col("size") >= border).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     owners = max(LEAST_OWNERS, -(-items // OWNER_ITEMS))
     sent = write_by_part(_send(docs, firsts, words, border, owners), "sent", gather=False)
@@ -377,32 +534,35 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     several = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     lists = materialise(listed.join(several, "key"), "lists")
 
-    pairs = materialise(by_subset.unionAll(_to_hubs(lists.withColumn("root", F.col("row")), percent)).distinct(), "pairs")
+    pairs = materialise(by_subset.unionAll(_to_hubs(lists, percent)).distinct(), "pairs")
     members = lists.select("row").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
-    contents = materialise(_contents(docs, rows_by_part(members, "row", "members"), words), "contents")
-
-    links = materialise(_linked(pairs, contents, percent), "links")
-    roots = components(links)
-    for step in (_to_hubs, _across):
-        at = lists.join(roots, lists.row == roots.node, "left")
-        at = at.select("key", "row", "size", "alone", F.coalesce("root", "row").alias("root"))
-        more = materialise(step(at, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        pairs = pairs.unionAll(more)
-        found = materialise(_linked(more, contents, percent), "links")
-        if not found.isEmpty():
-            links = links.unionAll(found)
-            roots = components(links)
+    members = classes.select("row", "print").join(members, "row").unionByName(last)
+    contents = materialise(_contents(docs, rows_by_part(members, "members"), words), "contents")
+
+    roots = components(_linked(pairs, contents, percent))
+    rest = []
+    for level in range(LEVELS + 1):
+        lists = _open(lists, roots)
+        heavy = lists.where("heavy") if level < LEVELS else lists.where("false")
+        rest.append(_across(lists.where("not heavy") if level < LEVELS else lists, percent))
+        if heavy.isEmpty():
+            break
+        apart = materialise(_apart(_by_size(heavy, percent), contents, percent), "apart")
+        found = apart.where("linked").select(F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b"))
+        roots = components(roots.toDF("a", "b").unionAll(found))
+        lists = _by_difference(apart, roots, percent)
+    more = materialise(reduce(DataFrame.unionAll, rest).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        roots = components(roots.toDF("a", "b").unionAll(_linked(more, contents, percent)))
 
     joined = classes.join(roots, classes.row == roots.node, "left").select("high", "low", "none", "doc_id", "row", F.coalesce("root", "row").alias("root"))
     best = joined.groupBy("root").agg(F.min(F.struct("none", "doc_id", "row")).alias("best"))
     named = joined.join(best, "root").select("high", "low", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("stay"))
     named = materialise(named, "named")
     out = filled.join(named, ["high", "low"]).select(
-        "row", "doc_id", F.col("size").alias("n_shingles"), "component_id", (F.col("row") == F.col("stay")).alias("stays")
+        "row", "doc_id", "print", F.col("size").alias("n_shingles"), "component_id", (F.col("row") == F.col("stay")).alias("stays")
     )
-    empty = sets.where("size = 0").select("row", "doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    empty = sets.where("size = 0").select("row", "doc_id", "print", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
     return out.unionByName(empty)
 
 

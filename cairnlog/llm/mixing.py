@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
+from .parts import print_of, steady
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -97,10 +98,12 @@ def schedule(spark: SparkSession, aims: DataFrame, block_words: int = BLOCK_WORD
 def _laid_out(docs: DataFrame, weights: Sequence[int], most: int) -> tuple[DataFrame, DataFrame]:
     """Rows with place, source_size, target and the words before them in their
     source's shuffled order; and the targets."""
+    steady(docs.sparkSession)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), key.alias("shuffled"),
+        print_of().alias("print"),
     )
     rows = materialise(rows, "sized")
     aims = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "aims")
@@ -111,14 +114,15 @@ def _laid_out(docs: DataFrame, weights: Sequence[int], most: int) -> tuple[DataF
 
 
 def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """row and times, for rows that stand at least once in the mix.
+    """row, print (of the input row) and times: how often each row stands in the mix.
 
     Every source gives its whole target, to the word: full rounds of its
     documents and then as many words of the shuffled order as are left. One
     document is cut by that end and stands rounded; the words it then lacks, or
     has too many, are made up by the documents behind, or before, it as far as
     they fit. A source with a positive target gives one document at least."""
-    rows = _laid_out(docs, weights, most)[0].where("size > 0")
+    begun = _laid_out(docs, weights, most)[0]
+    rows = begun.where("size > 0")
     rows = rows.withColumn("aim", F.greatest(F.round("target").cast("long"), F.lit(1)))
     rows = rows.withColumn("part", F.expr("greatest(0L, least(size, aim % source_size - begin))"))
     rows = rows.withColumn("is_cut", F.expr("part > 0 AND part < size"))
@@ -130,10 +134,11 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST)
     more = F.expr("begin >= cut_end AND 2 * (begin - cut_end) + size <= 2 * owed")
     less = F.expr("begin + size <= cut_begin AND 2 * (cut_begin - begin - size) + size <= -2 * owed")
     change = F.when(more, 1).when(less, -1).otherwise(0)
-    rows = rows.select("row", "place", "is_cut", (F.col("times") + change).alias("times"))
+    rows = rows.select("row", "print", "place", "is_cut", (F.col("times") + change).alias("times"))
     given = rows.groupBy("place").agg(F.sum("times").alias("given"))
     rows = rows.join(given, "place").withColumn("times", F.expr("IF(given = 0 AND is_cut, 1L, times)").cast("int"))
-    return rows.where("times > 0").select("row", "times")
+    none = begun.where("size = 0").select("row", "print", F.lit(0).alias("times"))
+    return rows.select("row", "print", "times").unionByName(none)
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -13,8 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairnlog.llm import bpe, chat, components, context_mixing, exact_dedup, golomb, jaccard, media, mixing, packing, secrets, shards, toxicity
-from cairnlog.llm.common import shared_dir
+from cairnlog.llm import bpe, chat, components, context_mixing, exact_dedup, golomb, jaccard, media, mixing, packing, parts, secrets, shards, toxicity
+from cairnlog.llm.common import id_and_text, materialise, shared_dir
 from cairnlog.llm.queries import oracle_sql, queries
 from tests.test_queries import TABLES, same_rows
 
@@ -60,17 +60,85 @@ def test_exact_dedup(spark, odd):
 
 def test_changed_partitions_raise(spark, odd):
     owners = 4
-    docs = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).coalesce(1)
-    from cairnlog.llm.parts import write_by_part
-
-    sent = write_by_part(exact_dedup._send(docs, owners), "sent", gather=False)
+    docs = id_and_text(odd, parts.print_of().alias("print")).coalesce(1)
+    sent = parts.write_by_part(exact_dedup._send(docs, owners), "sent", gather=False)
     rows = spark.read.parquet(sent).groupBy("owner").applyInPandas(exact_dedup._answer, "part long, owner long, bitmap binary")
-    answers = write_by_part(rows, "answers")
+    answers = parts.write_by_part(rows, "answers")
     assert exact_dedup._mark(docs, sent, answers, owners).count() == len(ROWS)
     with pytest.raises(Exception, match="partitions changed"):
         exact_dedup._mark(docs.where("doc_id <> 1"), sent, answers, owners).count()
 
 
+FILES_AT_ONCE = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+
+
+@pytest.fixture
+def other_splits(spark):
+    """A table of many files, and a function that lets later scans deal them
+    otherwise, as if executors had gone."""
+    path = shared_dir(spark, "files")
+    spark.range(400).select("id", F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id") % 350).alias("text"),
+                            F.concat(F.lit("s"), F.col("id") % 3).alias("source")).drop("id").repartition(40).write.parquet(path)
+    before = {c: spark.conf.get(c, None) for c in FILES_AT_ONCE}
+
+    def change(cores: int, pin: bool = True) -> None:
+        spark.conf.set(FILES_AT_ONCE[0], cores)
+        spark.conf.set(FILES_AT_ONCE[1], "4096")
+        if not pin:
+            spark.conf.unset(FILES_AT_ONCE[2])
+
+    spark.conf.unset(FILES_AT_ONCE[2])
+    change(8)
+    yield spark.read.parquet(path), change
+    for c, v in before.items():
+        spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+@pytest.mark.parametrize("cores", [4, 6, 12])
+def test_other_splits_between_passes(spark, other_splits, cores):
+    """Equal rows where the number of splits is held, and an error, never other rows, where it isn't."""
+    docs, change = other_splits
+    found = materialise(exact_dedup.exact_dedup(docs).select("row", "print", "kept", "doc_id"), "found")
+    want = sorted(r.doc_id for r in found.where("kept").collect())
+    n = docs.rdd.getNumPartitions()
+    change(cores)
+    assert docs.rdd.getNumPartitions() == n
+    assert sorted(r.doc_id for r in parts.keep_rows(docs, found, "kept").collect()) == want
+    change(cores, pin=False)
+    again = spark.read.parquet(docs.inputFiles()[0].rsplit("/", 1)[0])
+    assert again.rdd.getNumPartitions() != n
+    with pytest.raises(Exception, match="partitions changed"):
+        parts.keep_rows(again, found, "kept").collect()
+
+
+def test_passes_of_other_splits_raise(spark, other_splits, monkeypatch):
+    """Each operator that passes twice, with the splits changed behind its first pass."""
+    docs, change = other_splits
+    monkeypatch.setattr(parts, "steady", lambda s: None)
+    for module in (jaccard, exact_dedup, mixing):
+        monkeypatch.setattr(module, "steady", lambda s: None)
+    sets, sized, send = jaccard.ends, mixing._laid_out, exact_dedup.write_by_part
+
+    def first_pass(f):
+        def run(*a, **k):
+            out = f(*a, **k)
+            change(3, pin=False)
+            return out
+        return run
+
+    monkeypatch.setattr(jaccard, "ends", first_pass(sets))
+    with pytest.raises(Exception, match="partitions changed"):
+        jaccard.similar(docs).count()
+    change(8, pin=False)
+    monkeypatch.setattr(exact_dedup, "write_by_part", first_pass(send))
+    with pytest.raises(Exception, match="partitions changed|KeyError"):
+        exact_dedup.exact_dedup(docs).count()
+    change(8, pin=False)
+    monkeypatch.setattr(mixing, "_laid_out", first_pass(sized))
+    with pytest.raises(Exception, match="partitions changed"):
+        corpus_pipeline.mix_sources(spark, docs, "").collect()
+
+
 # Jaccard join.
 def slow_components(texts, n, percent):
     sets = []
@@ -108,8 +176,9 @@ def near_texts(seed, n_groups, words, edits):
     return out
 
 
-@pytest.mark.parametrize("n, percent, border", [(3, 90, None), (5, 80, None), (3, 90, 1), (3, 70, 1), (2, 80, 14)])
-def test_jaccard_is_brute_force(spark, monkeypatch, n, percent, border):
+@pytest.mark.parametrize("n, percent, border, pairs", [(3, 90, None, 2), (5, 80, None, 2), (3, 90, 1, 0), (3, 70, 1, 0), (2, 80, 14, 0)])
+def test_jaccard_is_brute_force(spark, monkeypatch, n, percent, border, pairs):
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
     if border:
         monkeypatch.setattr(jaccard, "boundary", lambda counts, p: border)
     texts = near_texts(n * percent, 14, (3, 9, 14, 25, 60, 150), 3) + ["", None, "a", "a b", "A b", "x y z", "x  y\tz"]
@@ -121,6 +190,32 @@ def test_jaccard_is_brute_force(spark, monkeypatch, n, percent, border):
     assert sum(r.stays for r in got.values()) == len(set(root))
 
 
+@pytest.mark.parametrize("n, percent, words, most", [(3, 90, 200, 4), (5, 80, 150, 5)])
+def test_jaccard_of_one_large_group(spark, monkeypatch, n, percent, words, most):
+    """Near copies of a text that isn't there itself, and of a second version of
+    it: most link, many do so only by way of others, and some with none."""
+    monkeypatch.setattr(jaccard, "boundary", lambda counts, p: 1)
+    seen = []
+    across = jaccard._across
+    monkeypatch.setattr(jaccard, "_across", lambda lists, p: seen.append(across(lists, p)) or seen[-1])
+    r = random.Random(words)
+    one = [f"w{k}" for k in range(words)]
+    two = [*one[: words // 2], *(f"v{k}" for k in range(words // 2, words))]
+    texts = []
+    for k in range(420):
+        copy = list(two if k % 3 == 0 else one)
+        for at in r.sample(range(words), r.randrange(1, most + 1)):
+            copy[at] = r.choice(["x", "y", f"z{k}{at}"])
+        texts.append(" ".join(copy))
+    texts = list(dict.fromkeys(texts))
+    root, _ = slow_components(texts, n, percent)
+    assert 10 < len(set(root)) < len(texts) // 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in jaccard.similar(docs, n, percent).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+    assert seen[0].count() < len(texts) ** 2 / 10
+
+
 def test_jaccard_of_odd_rows(spark, odd):
     got = jaccard.similar(odd).collect()
     assert len(got) == len(ROWS)
