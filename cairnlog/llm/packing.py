@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import batches, documents, id_and_text, stream
+from .common import batches, documents, id_and_text, release, stream
 
 LONGEST = 1024
 END = 0
@@ -76,6 +76,7 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = LONGEST, end: int = EN
 
         for batch in batches(pieces(), PIECES, lambda r: 64 + len(r[5])):
             yield batch.take(pa.compute.sort_indices(batch.column(2)))
+        release()
 
     return id_and_text(docs).mapInArrow(run, PIECES_DDL)
 

@@ -44,7 +44,7 @@ UNMARKED = 3
 #: A toxic word or beginning: log of its share in marked texts over that in others,
 #: and the chance that any feature does so well by luck.
 LEAST_LIFT, LUCK = 4.3, 0.05
-MEMO = 500_000
+MEMO = 200_000
 #: Odd numbers that turn one hash into three.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 ROUNDS = 3
@@ -368,6 +368,11 @@ def offsets(text: str, found: np.ndarray, least: float = 0.5) -> list[dict]:
     return out
 
 
+def some_tokens(text: str) -> int:
+    """About how many tokens a text holds; a chain takes a run at least."""
+    return max(RUN, len(text) // 6 + 1)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, row (monotonically_increasing_id of the input), score, n_tokens, spans."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -379,7 +384,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             some, size = [], 0
             for r in stream(it, "doc_id", "row", "text"):
                 some.append(r)
-                size += len(r[2]) // 6 + 1
+                size += some_tokens(r[2])
                 if size >= TOKENS:
                     yield from tagged(some)
                     some, size = [], 0
@@ -400,13 +405,26 @@ def annotate(docs: DataFrame, model: Model, name: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        release()
+
+        def scored(b: pa.RecordBatch, first: int, texts: list[str]) -> pa.RecordBatch:
+            scores = pa.array([m.score(found) for found in m.tag(texts)], pa.float64())
+            return pa.RecordBatch.from_arrays([*b.slice(first, len(texts)).columns, scores], names=[*b.schema.names, name])
+
         for b in it:
             at = b.schema.get_field_index("text")
-            for first in range(0, b.num_rows, 512):
-                part = b.slice(first, 512)
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                scores = pa.array([m.score(found) for found in m.tag(texts)], pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, name])
+            first, some, size = 0, [], 0
+            for k in range(0, b.num_rows, 64):
+                for t in b.column(at).slice(k, 64).to_pylist():
+                    some.append(t or "")
+                    size += some_tokens(some[-1])
+                    if size >= TOKENS:
+                        yield scored(b, first, some)
+                        first, some, size = first + len(some), [], 0
+            if some:
+                yield scored(b, first, some)
+        m.memo.clear()
+        release()
 
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(run, schema)
