@@ -16,9 +16,8 @@ import os
 
 import numpy as np
 
-#: Cuts, and characters of cuts, of a generation of the memo. A worker keeps two:
-#: a full one becomes the old one, from which what is used again moves on.
-MEMO, MEMO_CHARS = 300_000, 6 << 20
+#: Cuts, and their characters, kept by a worker; beyond this the memo starts anew, which only costs time.
+MEMO, MEMO_CHARS = 900_000, 16 << 20
 NEWLINE = "\n"
 MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~\\")
 
@@ -35,7 +34,6 @@ class Encoder:
         self.most = memo
         #: Ids of a space and the cut; None where the text must be encoded whole.
         self.memo: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
         self.chars = 0
         self.line = self.whole([NEWLINE])[0]
         self.break_id = int(np.frombuffer(self.line, "<u4")[0]) if len(self.line) == 4 else None
@@ -66,23 +64,16 @@ class Encoder:
 
     def _need(self, cuts: set[str]) -> None:
         if len(self.memo) > self.most or self.chars > MEMO_CHARS:
-            self.old, self.memo, self.chars = self.memo, {}, 0
+            self.memo, self.chars = {}, 0
         memo = self.memo
         tails: dict[str, str] = {}
         new: set[str] = set()
-        old = self.old
         for c in cuts.difference(memo):
             self.chars += len(c)
-            if c in old:
-                memo[c] = old[c]
-                continue
             if c[-1] in MARKS and c[:-1].isalpha():
                 stem = tails[c] = c[:-1]
                 if stem not in memo:
-                    if stem in old:
-                        memo[stem] = old[stem]
-                    else:
-                        new.add(stem)
+                    new.add(stem)
             else:
                 new.add(c)
         self._learn(list(new))
