@@ -44,7 +44,7 @@ UNMARKED = 3
 #: A toxic word or beginning: log of its share in marked texts over that in others,
 #: and the chance that any feature does so well by luck.
 LEAST_LIFT, LUCK = 4.3, 0.05
-MEMO = 200_000
+MEMO = 300_000
 #: Odd numbers that turn one hash into three.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 ROUNDS = 3
@@ -423,7 +423,6 @@ def annotate(docs: DataFrame, model: Model, name: str) -> DataFrame:
                         first, some, size = first + len(some), [], 0
             if some:
                 yield scored(b, first, some)
-        m.memo.clear()
         release()
 
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
