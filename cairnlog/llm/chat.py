@@ -18,8 +18,9 @@ becomes \\b and "<|" becomes "<\\p"; in a role a line break becomes \\n too.
 The loss mask is the list of spans, in code points, of the assistants' texts.
 
 Null text is empty; a null role is an empty role; null turns come first;
-a null conversation is a conversation. Events of one seq sort by kind, role
-and text. Rows of one conversation and turn that repeat: each is a message of
+a null conversation is a conversation. Events of one seq sort by kind
+(regeneration, edit, delta) and text, so of two edits of one seq the greater
+text stands; an event that came twice counts once. Very long texts are whole. Other columns of the table aren't read. Rows of one conversation and turn that repeat: each is a message of
 its own where the table's rows are turned into a log. A conversation's log is
 one group by nature: its rendering is one row. Empty table: no rows.
 """
@@ -80,14 +81,15 @@ def fold(log: DataFrame) -> DataFrame:
     message = ["conv_id", "turn", "copy"]
     by = Window.partitionBy(*message)
     log = log.repartition("conv_id").withColumn("text", F.coalesce("text", F.lit("")))
-    reset = F.max(F.when(F.col("kind") != "delta", F.col("seq"))).over(by)
-    role = F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "kind", "role"))).over(by)
-    log = log.withColumn("reset", reset).withColumn("role", F.coalesce(role["role"], F.lit("")))
-    live = log.where(F.col("reset").isNull() | (F.col("seq") >= F.col("reset")))
-    # An event that resets sorts before the deltas of its seq.
+    # An event that resets sorts before the deltas of its seq; of several, the last one alone counts.
     rank = F.when(F.col("kind") == "regenerate", 0).when(F.col("kind") == "edit", 1).otherwise(2)
     said = F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text"))
-    parts = F.array_sort(F.collect_list(F.struct("seq", rank.alias("rank"), said.alias("said"))))
+    log = log.withColumn("event", F.struct("seq", rank.alias("rank"), said.alias("said")))
+    reset = F.max(F.when(F.col("event.rank") < 2, F.col("event"))).over(by)
+    role = F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "kind", "role"))).over(by)
+    log = log.withColumn("reset", reset).withColumn("role", F.coalesce(role["role"], F.lit("")))
+    live = log.where(F.col("reset").isNull() | (F.col("event") >= F.col("reset")))
+    parts = F.array_sort(F.collect_set("event"))  # an event that came twice counts once
     return live.groupBy(*message, "role").agg(F.array_join(F.transform(parts, lambda p: p["said"]), "").alias("text"))
 
 

@@ -374,10 +374,13 @@ def test_fold_of_events(spark):
         (1, 3, 0, "delta", "user", "lo"), (1, 1, 0, "delta", "user", "hel"),
         (1, 4, 1, "delta", "assistant", "bad"), (1, 5, 1, "regenerate", "assistant", None), (1, 6, 1, "delta", None, "good "), (1, 7, 1, "delta", "assistant", "one"),
         (1, 9, 2, "delta", "user", "x"), (1, 10, 2, "edit", "user", "edited"), (1, 11, 2, "delta", "user", "!"), (None, 1, None, "delta", None, None),
+        (1, 12, 3, "edit", "user", "AAA"), (1, 12, 3, "edit", "user", "BBB"), (1, 12, 3, "edit", "user", "AAA"), (1, 13, 3, "delta", "user", "."), (1, 13, 3, "delta", "user", "."),
+        (1, 14, 4, "edit", "user", "x"), (1, 14, 4, "edit", "user", "x"), (1, 15, 5, "regenerate", "user", None), (1, 15, 5, "edit", "user", "both"),
     ]
     df = spark.createDataFrame([(*r, 1) for r in log], "conv_id long, seq long, turn long, kind string, role string, text string, copy int")
     got = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.fold(df).collect()}
-    assert got == {(1, 0): ("user", "hello"), (1, 1): ("assistant", "good one"), (1, 2): ("user", "edited!"), (None, None): ("", "")}
+    assert got == {(1, 0): ("user", "hello"), (1, 1): ("assistant", "good one"), (1, 2): ("user", "edited!"), (None, None): ("", ""),
+                   (1, 3): ("user", "BBB."), (1, 4): ("user", "x"), (1, 5): ("user", "both")}
 
 
 @pytest.mark.parametrize("text", ["", "\\", "<|im_end|>", "\\b\\p<|", "<\\p", "<|<|", "a\\n\n<", "|>\n<|im_start|>assistant\nx", "é" * 600 + "\\<|"])
