@@ -3,7 +3,10 @@ integral images, written as NPY tiles with difference hashes.
 
 Every operator works row by row, so nothing is shuffled; a file that can't be
 decoded gives null columns and its error, never a failed task. Null media:
-null columns. Samples of up to 8 bits; anything deeper is an error row.
+null columns. Samples of up to 8 bits; anything deeper is an error row. Texts
+as media: null and empty ones are 64 zero bytes, very long ones are whole
+images, repeated rows and ids are rows of their own, other columns aren't read,
+and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,30 +34,44 @@ _MAX = re.compile(rb"(?:\s|#[^\n]*\n)+(\d+)")
 
 def decode_netpbm(data: bytes) -> np.ndarray:
     """P1 to P6 with at most 255 as the largest sample: (rows, columns) or
-    (rows, columns, 3), unsigned 8 bit. Bits are 0 for white, as stored."""
+    (rows, columns, 3), unsigned 8 bit from 0 to 255. A bit of 1 is black, and
+    samples with another largest one are scaled to 255."""
     m = _HEAD.match(data)
     if not m:
         raise ValueError("not a Netpbm file")
     kind, width, height = int(m[1]), int(m[2]), int(m[3])
     at = m.end()
+    most = 1
     if kind not in (1, 4):
         m = _MAX.match(data, at)
         if not m or not 0 < int(m[1]) < 256:
             raise ValueError("largest sample is missing or over 255")
-        at = m.end()
+        at, most = m.end(), int(m[1])
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
     n = int(np.prod(shape))
     if kind == 4:
         per = (width + 7) // 8
         raw = np.frombuffer(data, np.uint8, per * height, at + 1).reshape(height, per)
-        return np.unpackbits(raw, axis=1)[:, :width]
+        return 255 * (1 - np.unpackbits(raw, axis=1)[:, :width])
     if kind in (5, 6):
-        return np.frombuffer(data, np.uint8, n, at + 1).reshape(shape)
+        return _scaled(np.frombuffer(data, np.uint8, n, at + 1), most).reshape(shape)
     body = re.sub(rb"#[^\n]*", b"", data[at:])
     parts = re.findall(rb"[01]", body) if kind == 1 else body.split()
     if len(parts) < n:
         raise ValueError("samples are missing")
-    return np.array([int(x) for x in parts[:n]], np.uint8).reshape(shape)
+    samples = np.array([int(x) for x in parts[:n]], object)
+    if n and not 0 <= samples.min() <= samples.max() <= most:
+        raise ValueError("a sample is out of range")
+    samples = samples.astype(np.uint8)
+    return (255 * (1 - samples) if kind == 1 else _scaled(samples, most)).reshape(shape)
+
+
+def _scaled(samples: np.ndarray, most: int) -> np.ndarray:
+    if most == 255:
+        return samples
+    if samples.size and samples.max() > most:
+        raise ValueError("a sample is out of range")
+    return ((samples.astype(np.int64) * 510 + most) // (2 * most)).astype(np.uint8)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -163,8 +180,8 @@ def features(media: DataFrame, side: int = TILE) -> DataFrame:
                         raise ValueError("null")
                     x = grey(decode(data))
                     yield doc_id, *x.shape, x.tobytes(), tile(x, side), difference_hash(x), None
-                except (ValueError, struct.error) as e:
-                    yield doc_id, None, None, None, None, None, str(e)
+                except Exception as e:  # whatever a broken file leads to is its own row's error
+                    yield doc_id, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
         yield from batches(rows(), FEATURES, lambda r: 1500 + len(r[3] or b""))
 
