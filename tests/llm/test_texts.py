@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cairnlog.llm import bpe, context_mixing, media, packing, secrets, shards
+from cairnlog.llm import bpe, context_mixing, in_text, media, packing, secrets, shards
 from cairnlog.llm.common import documents, filesystem, shared_dir
 
 from .conftest import ROWS
@@ -356,3 +356,106 @@ def test_row_queries_keep_every_document(spark, name):
     n = documents(spark, SF).count()
     got = queries()[name](spark, SF)
     assert got.select("doc_id").distinct().count() == n
+
+
+# In-text mixing.
+def slow_in_text(ids, logp):
+    """One text, word by word and bit by bit, from what came before alone."""
+    k, total, told = in_text, 0.0, []
+    counters, cells, weights, blocks = {}, {}, {}, [[]]
+    coded = 0
+    asked_at = [{}, {}]
+    for t, w in enumerate(ids):
+        run = 0
+        while run < t and told[t - 1 - run]:
+            run += 1
+        r = min(run.bit_length(), 4)
+        hit_any, ruled = False, None
+        for kind in (0, 1):
+            wide = 2 - kind
+            earlier = [u for u in range(wide, t) if ids[u - wide : u] == ids[t - wide : t]] if t >= wide else []
+            if kind == 1 and t >= 1:
+                earlier = [u for u in range(1, t) if ids[u - 1] == ids[t - 1]]
+            if not earlier or hit_any:
+                continue
+            word = ids[earlier[-1]]
+            if kind == 1 and word == ruled:
+                continue
+            ruled = word
+            bit = int(word == w)
+            went = asked_at[kind].get(earlier[-1], 0)
+            likely = int(min(max(-2 * logp[earlier[-1]], 0), 15))
+            keys = [(0, kind, r, min(len(earlier), 3), went), (1, kind, likely, r > 0), (2, kind, tuple(ids[t - wide : t]))]
+            x = []
+            for key in keys:
+                n, ones = counters.get(key, (0, 0))
+                x.append(math.log((p := (ones + k.STRENGTH * k.START[r]) / (n + k.STRENGTH)) / (1 - p)))
+            g = (kind, r > 0)
+            if (coded // k.FIRST_BLOCK).bit_length() > len(blocks) - 1:
+                new = {}
+                for gate in {b[0] for b in blocks[-1]}:
+                    for j in range(3):
+                        mine = [b for b in blocks[-1] if b[0] == gate]
+                        slope = sum((b[2] - b[3]) * b[1][j] for b in mine)
+                        step = slope / (sum(b[1][j] ** 2 for b in mine) + 8) / 3
+                        new[gate, j] = min(max(weights.get((gate, j), k.WEIGHT) + step, 0), 2)
+                weights.update(new)
+                blocks.append([])
+            z = sum(weights.get((g, j), k.WEIGHT) * x[j] for j in range(3))
+            p = 1 / (1 + math.exp(-min(max(z, -9), 9)))
+            blocks[-1].append((g, x, bit, p))
+            coded += 1
+            cell = (kind, int(min(max((math.log(p / (1 - p)) + 8) * (k.CELLS / 16), 0), k.CELLS - 1)))
+            n, ones = cells.get(cell, (0, 0))
+            q = (p + (ones + k.MAP_STRENGTH * p) / (n + k.MAP_STRENGTH)) / 2
+            total += math.log10(q if bit else 1 - q)
+            for key in keys:
+                n1, o1 = counters.get(key, (0, 0))
+                counters[key] = (n1 + 1, o1 + bit)
+            cells[cell] = (n + 1, ones + bit)
+            asked_at[kind][t] = 1 + bit
+            hit_any = hit_any or bool(bit)
+        told.append(hit_any)
+        total += 0.0 if hit_any else logp[t]
+    return total
+
+
+def in_texts(seed):
+    r = np.random.default_rng(seed)
+    texts = []
+    for k in range(12):
+        ids = r.integers(0, (2, 3, 8, 60)[k % 4], int(r.integers(0, 130))).tolist()
+        texts.append([*(ids[: len(ids) // 3] * 3 if k % 3 == 0 else ids), -1])
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_in_text_mixing_is_bit_by_bit(seed):
+    texts = in_texts(seed)
+    spell = {i: -0.3 - (i % 7) / 2 for i in range(-1, 60)}
+    ids = np.concatenate([np.array(t) for t in texts])
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    got = in_text.score(ids, doc, np.array([spell[i] for i in ids.tolist()]), len(texts))
+    want = [slow_in_text(t, [spell[i] for i in t]) for t in texts]
+    assert np.allclose(got, want, atol=1e-9), list(zip(got, want))
+
+
+def test_in_text_mixing_is_a_probability():
+    """Over all texts of two words up to a length, with the end never told apart, probabilities add up to at most 1."""
+    from itertools import product
+
+    total = 0.0
+    texts = [[*t, -1] for n in range(9) for t in product((0, 1), repeat=n)]
+    logp = {0: math.log10(0.5), 1: math.log10(0.3), -1: math.log10(0.2)}
+    ids = np.concatenate([np.array(t) for t in texts])
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    total = (10.0 ** in_text.score(ids, doc, np.array([logp[i] for i in ids.tolist()]), len(texts))).sum()
+    assert 0.3 < total <= 1
+
+
+def test_in_text_mixing_sees_order_and_repeats():
+    r = np.random.default_rng(4)
+    line = r.integers(0, 500, 40)
+    lines, mixed = np.append(np.tile(line, 10), -1), np.append(r.permutation(np.tile(line, 10)), -1)
+    score = lambda ids: in_text.score(ids, np.zeros(len(ids), np.int64), np.full(len(ids), -3.0), 1)[0]
+    assert score(lines) > 0.3 * score(mixed)
