@@ -220,7 +220,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--json", action="store_true", default=argparse.SUPPRESS)
         s.add_argument("store")
         if f in (scan, dump, get):
-            s.add_argument("--bytes", choices=("auto", "raw", "base64", "hex"), default="auto")
+            s.add_argument("--bytes", choices=("auto", "raw", "base64", "hex"), default="auto", type=lambda x: {"b64": "base64"}.get(x, x))
             s.add_argument("--no-truncate", action="store_true")
         if f in (scan, dump):
             s.add_argument("--limit", type=int)

@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..model import SUFFIX, LogError
-from .kv import compact
+from .kv import keydir
+from .order import running
+
+#: Keys of a range that is ranked in one task.
+RANGE_KEYS = 1 << 20
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Rows (record_type, key, payload) as new segments, one for each partition."""
+    """Rows (record_type, key, payload) as new segments, one for each
+    partition. Partitions are counted first, so that each task knows the number
+    its frames begin with; between the two the rows are kept (memory, then disk)."""
+    from ..sources.datasource import register
+
+    register(rows.sparkSession)
+    rows = rows.select("record_type", "key", "payload").persist()
+    try:
+        counts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each partition
+        bases, before = {}, 0
+        for r in sorted(counts):
+            bases[r.part] = (before, r.n)
+            before += r.n
+        _write(rows.write.format("framedlog").option("bases", json.dumps(bases)), path)
+    finally:
+        rows.unpersist()
+
+
+def append_numbered(rows: DataFrame, path: str) -> None:
+    """The same for rows with their numbers (txid from 1, ascending over partitions)."""
     from ..sources.datasource import register
 
     register(rows.sparkSession)
-    rows.select("record_type", "key", "payload").write.format("framedlog").option("path", path).mode("append").save()
+    _write(rows.select("txid", "record_type", "key", "payload").write.format("framedlog"), path)
+
+
+def _write(writer: DataFrameWriter, path: str) -> None:
+    writer.option("path", path).mode("append").save()
 
 
 def compact_to(log: DataFrame, path: str, segments: int = 1) -> None:
@@ -34,9 +62,17 @@ def compact_to(log: DataFrame, path: str, segments: int = 1) -> None:
     elif info.type.name != "NotFound":
         raise LogError(f"not a directory: {path}")
     files.create_dir(base, recursive=True)
-    live = compact(log).select("txid", "record_type", "key", "payload")
-    dealt = live.coalesce(1) if segments == 1 else live.repartitionByRange(segments, "txid")
-    append(dealt.sortWithinPartitions("txid"), path)
+    # Keys are ranked by their references; payloads move once, to the segment that takes them.
+    refs = keydir(log).select("key", "segment", "offset").persist()
+    try:
+        n = refs.count()
+        ranked = running(refs, "key", ranges=max(1, -(-n // RANGE_KEYS))).select("segment", "offset", F.col("rank").alias("number"))
+        live = log.select("segment", "offset", "key", "payload").join(ranked, ["segment", "offset"])
+        live = live.withColumn("part", F.floor((F.col("number") - 1) * segments / max(1, n)).cast("int"))
+        dealt = live.repartitionById(segments, "part").sortWithinPartitions("number")
+        append_numbered(dealt.select(F.col("number").alias("txid"), F.lit("Put").alias("record_type"), "key", "payload"), path)
+    finally:
+        refs.unpersist()
     if os.path.isdir(base) and not any(n.endswith(SUFFIX) for n in os.listdir(base)):
         from ..sources.store import RecordLog
 

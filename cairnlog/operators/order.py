@@ -7,22 +7,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys that are sampled for bounds, and the ranges made of them.
-SAMPLED, RANGES = 4096, 64
+#: Keys that are sampled for bounds for each range, and the ranges where the rows haven't been counted.
+SAMPLED, RANGES = 64, 64
 
 
-def bounds(rows: DataFrame, key: str) -> list:
-    """Up to RANGES - 1 keys that cut the rows into similar parts: exact order
+def bounds(rows: DataFrame, key: str, ranges: int = RANGES) -> list:
+    """Up to ranges - 1 keys that cut the rows into similar parts: exact order
     statistics of the sample with the smallest hashes."""
-    few = rows.select(key, F.xxhash64(key).alias("h")).orderBy("h").limit(SAMPLED).collect()
+    if ranges == 1:
+        return []
+    few = rows.select(key, F.xxhash64(key).alias("h")).orderBy("h").limit(SAMPLED * ranges).collect()
     keys = sorted({bytes(r[0]) if isinstance(r[0], (bytes, bytearray)) else r[0] for r in few})
-    step = max(1, len(keys) // RANGES)
+    step = max(1, len(keys) // ranges)
     return keys[step::step]
 
 
-def running(rows: DataFrame, key: str, value: str | None = None) -> DataFrame:
-    """Adds rank (from 1, by key, which must be unique) and, for a value, its sum before the row."""
-    cuts = bounds(rows, key)
+def running(rows: DataFrame, key: str, value: str | None = None, ranges: int = RANGES) -> DataFrame:
+    """Adds rank (from 1, by key, which must be unique) and, for a value, its
+    sum before the row. Who knows the number of rows sets the ranges by it."""
+    cuts = bounds(rows, key, ranges)
     # The number of bounds at or below the key, from the sorted literal array.
     listed = F.array(*map(F.lit, cuts)) if cuts else None
     part = F.size(F.filter(listed, lambda b: b <= F.col(key))) if cuts else F.lit(0)

@@ -63,9 +63,10 @@ class Decoded:
     needed: int | None
 
 
-def header_at(data: bytes, at: int) -> tuple[str, int | None, tuple | None]:
-    """(status, bytes needed, header) at an offset; checks in the format's order."""
-    left = len(data) - at
+def header_at(data: bytes, at: int, left: int | None = None) -> tuple[str, int | None, tuple | None]:
+    """(status, bytes needed, header) at an offset; checks in the format's
+    order. `left` tells how many bytes there are where data is a part of them."""
+    left = len(data) - at if left is None else left
     if left < HEADER_BYTES:
         return TRUNCATED, HEADER_BYTES, None
     magic, version, kind, flags, txid, key_len, payload_len = h = HEADER.unpack_from(data, at)
@@ -111,3 +112,31 @@ def decode_segment(data: bytes, start: int = 0, verify_crc: bool = True) -> Deco
     if status == OK:
         needed = None
     return Decoded(frames, status, at, len(data) - at, needed)
+
+
+@dataclass
+class Hopped:
+    """What headers alone tell of a segment from an offset on."""
+
+    frames: int
+    txid: int  # the last number, 0 without frames
+    last: int  # where the last frame begins
+    status: str
+    offset: int  # where whole frames end
+
+
+def hop(f, at: int, size: int, most: int | None = None, window: int = 1 << 16) -> Hopped:
+    """Hop the headers of an open file by windows, payloads beyond them unread;
+    at most about `most` bytes on. Checksums aren't looked at."""
+    got, data, begin, stop = Hopped(0, 0, at, OK, at), b"", at, size if most is None else at + most
+    while at < min(size, stop):
+        if not begin <= at <= begin + len(data) - min(HEADER_BYTES, size - at):
+            f.seek(at)
+            data, begin = f.read(min(window, size - at)), at
+        got.status, needed, h = header_at(data, at - begin, size - at)
+        if got.status != OK:
+            break
+        got.frames, got.txid, got.last = got.frames + 1, h[4], at
+        at += needed
+    got.offset = at
+    return got

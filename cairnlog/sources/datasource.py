@@ -18,11 +18,15 @@ Reading, one task for each segment. Options:
     payload     true (default), or false for null payloads
 
 Writing, each task makes whole new segments; rows are record_type, key,
-payload. commit() gives the numbers, in order of tasks, syncs and renames.
+payload, and the number as txid where the caller has it (`derive` counts first
+where it hasn't). commit() syncs and renames.
+
+Streaming, max_bytes_per_trigger ends a micro-batch at the first frame past it.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -37,7 +41,7 @@ from pyspark.sql.types import StructType
 
 from ..model import CRC_MISMATCH, FRAME_SCHEMA, LOG_SCHEMA, OK, TRUNCATED, LogError
 from . import fs
-from .codec import decode_segment, encode_frames
+from .codec import decode_segment, encode_frames, hop
 
 BATCH_BYTES = 8 << 20
 LOG_ARROW = pa.schema(
@@ -131,20 +135,30 @@ class LogStream(DataSourceStreamReader):
 
     def __init__(self, options: dict[str, str]):
         self.uri = options["path"]
+        self.most = int(options["max_bytes_per_trigger"]) if "max_bytes_per_trigger" in options else None
         self.ends: dict[int, int] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
+        """Where whole frames end now, by headers alone; tasks check what they
+        read. Only the very last frame is checked here, since a torn one may
+        have all its bytes."""
+        files, _ = fs.filesystem(self.uri)
         found = fs.list_segments(self.uri)
+        left = self.most
         for k, (n, path, size) in enumerate(found):
-            start = self.ends.get(n, 0)
-            if size > start:
-                got = decode_segment(fs.read_bytes(self.uri, path), start)
-                if got.status != OK and (k != len(found) - 1 or got.status not in (TRUNCATED, CRC_MISMATCH)):
+            start, is_last = self.ends.get(n, 0), k == len(found) - 1
+            if size > start and (left is None or left > 0):
+                with files.open_input_file(path) as f:
+                    got = hop(f, start, size, left)
+                    if is_last and got.frames and not frame_is_whole(f, got.last, got.offset):
+                        got.status, got.offset = CRC_MISMATCH, got.last
+                if got.status != OK and (not is_last or got.status not in (TRUNCATED, CRC_MISMATCH)):
                     raise LogError(f"{got.status} at offset {got.offset} of segment {n}")
                 self.ends[n] = got.offset
+                left = None if left is None else left - (got.offset - start)
             else:
                 self.ends.setdefault(n, 0)
         return {str(n): at for n, at in sorted(self.ends.items())}
@@ -171,15 +185,45 @@ class Written(WriterCommitMessage):
     task: int
     file: str
     records: int
+    low: int
+    high: int
 
 
-class LogWriter(DataSourceArrowWriter):
-    """Numbers of appends run on over all tasks, so a task leaves them open and
-    commit() fills them in, with the checksums, as it copies the files in."""
+def frame_is_whole(f, at: int, end: int) -> bool:
+    f.seek(at)
+    return decode_segment(f.read(end - at)).status == OK
+
 
-    def __init__(self, options: dict[str, str], overwrite: bool):
-        self.uri, self.overwrite = options["path"], overwrite
+def last_txid(uri: str) -> int:
+    """The last number of a store, from the headers of its last segment that has frames."""
+    files, base = fs.filesystem(uri)
+    if files.get_file_info(base).type.name == "NotFound":
+        return 0
+    found = fs.list_segments(uri)
+    for k, (_, path, size) in enumerate(reversed(found)):
+        with files.open_input_file(path) as f:
+            got = hop(f, 0, size)
+            if k == 0 and (got.status == TRUNCATED or got.frames and not frame_is_whole(f, got.last, got.offset)):
+                raise LogError("the last segment has a torn tail; compact the store to a new one")
+        if got.status != OK:
+            raise LogError(f"{got.status} at offset {got.offset} of {path}")
+        if got.frames:
+            return got.txid
+    return 0
+
+
+class LogWriter(DataSourceArrowWriter):
+    """A task's frames get their last numbers as they are written, so commit()
+    renames files and reads none. Numbers are the column txid (ascending over
+    tasks, from 1, behind the store's last one) or, by the option bases, a
+    task's number of rows before it and its own. Without either a task can't
+    know, and commit() renumbers all but the first file."""
+
+    def __init__(self, options: dict[str, str], overwrite: bool, numbered: bool = False):
+        self.uri, self.overwrite, self.numbered = options["path"], overwrite, numbered
         self.folder = f".staging-{uuid.uuid4().hex}"
+        self.bases = {int(k): v for k, v in json.loads(options["bases"]).items()} if "bases" in options else None
+        self.behind = last_txid(self.uri)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -187,15 +231,23 @@ class LogWriter(DataSourceArrowWriter):
         files, base = fs.filesystem(self.uri)
         files.create_dir(f"{base}/{self.folder}", recursive=True)
         task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        name, n = f"{base}/{self.folder}/{task:08d}-{attempt}", 0
+        before, told = self.bases.get(task, (0, 0)) if self.bases is not None else (0, None)
+        name, n, low, high = f"{base}/{self.folder}/{task:08d}-{attempt}", 0, 0, self.behind
         with files.open_output_stream(name) as out:
             for b in iterator:
-                types, keys, payloads = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("record_type", "key", "payload"))
-                # Numbers within the task for now: the header's place is known.
-                rows = [(t, n + k + 1, key or b"", payload or b"") for k, (t, key, payload) in enumerate(zip(types, keys, payloads))]
-                out.write(b"".join(encode_frames(rows)))
-                n += len(rows)
-        return Written(task, name, n)
+                column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+                types, keys, payloads = (column(c) for c in ("record_type", "key", "payload"))
+                first = self.behind + before + n + 1
+                numbers = [self.behind + int(x) for x in column("txid")] if self.numbered else range(first, first + len(types))
+                for x in numbers:
+                    if x <= high:
+                        raise LogError("numbers must ascend")
+                    low, high = low or x, x
+                out.write(b"".join(encode_frames([(t, x, k or b"", p or b"") for t, x, k, p in zip(types, numbers, keys, payloads)])))
+                n += len(types)
+        if told is not None and n != told:
+            raise LogError("the rows were dealt otherwise than when they were counted")
+        return Written(task, name, n, low, high)
 
     def commit(self, messages: list[Written | None]) -> None:
         from .store import DirLock, sync_dir
@@ -204,23 +256,26 @@ class LogWriter(DataSourceArrowWriter):
         local = files.type_name == "local"
         lock = DirLock(base) if local else None
         try:
-            if local:
-                report = _report_of(base)
-                if report.tail_truncated:
-                    raise LogError("the last segment has a torn tail; compact the store to a new one")
-                first = report.last_txid_seen + 1
-            else:
-                first = 1 + max((f.txid for n, p, _ in fs.list_segments(self.uri) for f in decode_segment(fs.read_bytes(self.uri, p)).frames), default=0)
-            number = fs.next_segment([n for n, _, _ in fs.list_segments(self.uri)])
-            made = []
-            for m in sorted((m for m in messages if m is not None and m.records), key=lambda m: m.task):
+            if last_txid(self.uri) != self.behind:
+                raise LogError("the store was written to since this job began")
+            number, high, made = fs.next_segment([n for n, _, _ in fs.list_segments(self.uri)]), self.behind, []
+            whole = sorted((m for m in messages if m is not None and m.records), key=lambda m: m.task)
+            known = self.numbered or self.bases is not None
+            if known:
+                for m in whole:
+                    if m.low <= high:
+                        raise LogError("numbers must ascend over tasks")
+                    high = m.high
+            for m in whole:
                 target = f"{base}/{fs.segment_name(number)}"
-                if first == 1:
+                if known or high == self.behind:
                     files.move(m.file, target)
                 else:
-                    _renumber(files, m.file, target, first - 1)
+                    _renumber(files, m.file, target, high - self.behind)
+                if not known:
+                    high += m.records
                 made.append(target)
-                first, number = first + m.records, number + 1
+                number += 1
             self.abort(messages)
             if local:
                 for path in made:
@@ -237,15 +292,6 @@ class LogWriter(DataSourceArrowWriter):
             files.delete_dir(f"{base}/{self.folder}")
 
 
-def _report_of(path: str):
-    from .store import Report, records_of
-
-    report = Report()
-    for _ in records_of(path, [n for n, _, _ in fs.list_segments(path)], report):
-        pass
-    return report
-
-
 def _renumber(files, source: str, target: str, add: int) -> None:
     with files.open_input_file(source) as f:
         data = f.read()
@@ -279,7 +325,7 @@ class FramedLog(DataSource):
             raise LogError(f"columns are missing: {sorted(missing)}")
         if overwrite:
             raise LogError("a log is only appended to")
-        return LogWriter(dict(self.options), overwrite)
+        return LogWriter(dict(self.options), overwrite, "txid" in schema.names)
 
 
 def register(spark) -> None:

@@ -45,6 +45,7 @@ def test_get(store, capsys):
     assert main(["get", store, "--key", "bin"]) == 0
     out = capsys.readouterr()
     assert out.out == "" and out.err == "<binary value, 2 bytes; use --bytes base64 or --bytes hex>\n"
+    assert main(["get", store, "--key", "bin", "--bytes", "b64"]) == 0 and capsys.readouterr().out == "AP8=\n"
     assert main(["get", store, "--key", "bin", "--bytes", "hex"]) == 0 and capsys.readouterr().out == "00ff\n"
     for bad in (["--key-hex", "abc"], ["--key-hex", "zz"], ["--key-base64", "YQ"], [], ["--key", "a", "--key-hex", "61"]):
         assert main(["get", store, *bad]) == 1

@@ -1,3 +1,5 @@
+import io
+import json
 import os
 
 import pytest
@@ -9,7 +11,8 @@ from cairnlog.functions.crc32c import crc32c, crc32c_column
 from cairnlog.model import LogError
 from cairnlog.operators import derive, kv, log, validate
 from cairnlog.sources import jsonl
-from cairnlog.sources.codec import HEADER, encode_frame
+from cairnlog.sources import datasource
+from cairnlog.sources.codec import HEADER, decode_segment, encode_frame, hop
 from cairnlog.sources.datasource import read_log
 from cairnlog.sources.store import KeyValueStore, RecordLog
 from cairnlog.streaming import incremental
@@ -94,6 +97,68 @@ def test_append_makes_new_segments_with_running_numbers(spark, store):
     assert not [n for n in os.listdir(store) if n.startswith(".staging")]
 
 
+def test_commit_reads_no_data_file(spark, store, monkeypatch):
+    """Tasks write final numbers, so the driver looks at the headers of the last segment alone."""
+    opened, hopped = [], datasource.hop
+    monkeypatch.setattr(datasource, "_renumber", lambda *a: opened.append(a))
+    monkeypatch.setattr(datasource.fs, "read_bytes", lambda *a: opened.append(a))
+    monkeypatch.setattr(datasource, "hop", lambda f, *a: opened.append("hop") or hopped(f, *a))
+    writer = datasource.LogWriter({"path": store, "bases": json.dumps({0: (0, 2), 1: (2, 1)})}, False)
+    base = writer.behind
+    made = []
+    for task, keys in ((0, ("a", "b")), (1, ("c",))):
+        name = f"{store}/{writer.folder}/{task}"
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        first = base + 1 + 2 * task
+        with open(name, "wb") as f:
+            f.write(b"".join(encode_frame("Put", first + k, x.encode(), b"") for k, x in enumerate(keys)))
+        made.append(datasource.Written(task, name, len(keys), first, first + len(keys) - 1))
+    n = len(opened)
+    writer.commit(made[::-1])
+    assert opened[n:] == ["hop"] * (len(opened) - n) and len(opened) - n <= 2
+    with RecordLog(store) as lg:
+        assert [(r.txid, r.key) for r in lg.scan()[-3:]] == [(base + 1, b"a"), (base + 2, b"b"), (base + 3, b"c")]
+
+
+def test_commit_behind_another_writer_is_refused(spark, store):
+    writer = datasource.LogWriter({"path": store}, False, True)
+    with RecordLog(store) as lg:
+        lg.append(b"meanwhile")
+    with pytest.raises(LogError, match="written to since"):
+        writer.commit([])
+
+
+def test_rows_without_numbers_straight_to_the_source(spark, store):
+    datasource.register(spark)
+    rows = spark.range(12, numPartitions=3).select(F.lit("Put").alias("record_type"), F.encode(F.col("id").cast("string"), "UTF-8").alias("key"), F.lit(b"x").alias("payload"))
+    rows.write.format("framedlog").option("path", store).mode("append").save()
+    with RecordLog(store) as lg:
+        found = [r.txid for r in lg.scan()[-12:]]
+        assert found == list(range(found[0], found[0] + 12))
+
+
+@pytest.mark.parametrize("window", [26, 40, 1 << 16])
+def test_hopping_headers_is_decoding(tmp_path, window):
+    frames = [encode_frame("Put", k + 5, b"k" * (k % 7), b"x" * (k * 13 % 300)) for k in range(60)]
+    data = b"".join(frames)
+    for cut in (len(data), len(data) - 1, len(data) - 30, 10, 0):
+        got = hop(io.BytesIO(data[:cut]), 0, cut, window=window)
+        want = decode_segment(data[:cut])
+        assert (got.frames, got.status, got.offset) == (len(want.frames), want.status, want.offset)
+        assert got.txid == (want.frames[-1].txid if want.frames else 0)
+    part = hop(io.BytesIO(data), 0, len(data), most=500, window=window)
+    assert part.status == "ok" and 500 <= part.offset < 500 + 400
+
+
+def test_stream_by_bytes(spark, store):
+    reader = datasource.LogStream({"path": store, "max_bytes_per_trigger": "60"})
+    seen = [reader.latestOffset() for _ in range(200)]
+    whole = datasource.LogStream({"path": store}).latestOffset()
+    assert seen[0] != whole and seen[-1] == whole
+    for a, b in zip(seen, seen[1:]):
+        assert all(b[n] >= at for n, at in a.items())
+
+
 def test_append_to_a_torn_store_is_refused(spark, store):
     with open(os.path.join(store, "00000004.dwal"), "ab") as f:
         f.write(b"123")
@@ -102,8 +167,9 @@ def test_append_to_a_torn_store_is_refused(spark, store):
         derive.append(rows, store)
 
 
-@pytest.mark.parametrize("segments", [1, 3])
-def test_compact_to_matches_the_handle(spark, store, tmp_path, segments):
+@pytest.mark.parametrize("segments, keys", [(1, 1 << 20), (3, 1 << 20), (3, 2)])
+def test_compact_to_matches_the_handle(spark, store, tmp_path, monkeypatch, segments, keys):
+    monkeypatch.setattr(derive, "RANGE_KEYS", keys)
     derive.compact_to(read_log(spark, store), str(tmp_path / "c"), segments)
     with KeyValueStore(store) as s:
         s.compact_to(str(tmp_path / "want"))
