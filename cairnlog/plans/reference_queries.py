@@ -361,10 +361,16 @@ def keyset_symdiff(spark, d):
     return validate.symmetric_difference(kv.items(_recovered(spark, d)), kv.items(event_log(spark, d))).select(_hex("key").alias("key"), "side")
 
 
-@query("true_prefix", "SELECT true AS ok")
+@query("true_prefix", _RV + "SELECT 'honest' AS state, true AS ok UNION ALL SELECT 'altered', count(*) > 0 FROM L WHERE payload = 'another'")
 def true_prefix(spark, d):
-    """Unlike the comparison with the end state, an honest earlier state passes."""
-    return validate.prefix_of(_oracle_ops(spark, d), kv.items(_recovered(spark, d))).select("ok")
+    """Unlike the comparison with the end state, an honest earlier state passes;
+    one that holds a value that was never written does not."""
+    ops, state = _oracle_ops(spark, d), kv.items(_recovered(spark, d))
+    key = state.agg(F.min("key")).first()[0]
+    other = F.when(F.col("key") == F.lit(key), F.lit(b"another")).otherwise(F.col("value"))
+    told = [("honest", state), ("altered", state.withColumn("value", other))]
+    rows = [validate.prefix_of(ops, s).select(F.lit(name).alias("state"), "ok") for name, s in told]
+    return rows[0].unionByName(rows[1])
 
 
 @query("render_auto", f"SELECT txid, {_rendered('payload')} AS text FROM L")
@@ -458,16 +464,34 @@ def log_gaps(spark, d):
     return log.gaps(e.where((F.col("segment") % 2 == 1) | (F.col("segment") == last)))
 
 
-@query("crc32c_vectors")
+_BYTES = "list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+
+
+@query(
+    "crc32c_vectors",
+    f""", steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END)) AS t
+), b AS (SELECT txid, list_prepend(4294967295, {_BYTES.format("payload")}) AS bytes FROM ops)
+SELECT txid, xor(list_reduce(bytes, lambda c, x: xor(t[CAST(xor(c, x) & 255 AS INT) + 1], c >> 8)), 4294967295) AS crc32c FROM b, steps""",
+)
 def crc32c_vectors(spark, d):
     return operations(spark, d).select("txid", crc32c_column("payload").alias("crc32c"))
 
 
-@query("fnv_fingerprint")
+@query(
+    "fnv_fingerprint",
+    f""", b AS (SELECT txid, list_prepend(14695981039346656037::UHUGEINT, list_transform({_BYTES.format("key")}, lambda x: x::UHUGEINT)) AS bytes FROM ops), h AS (
+  SELECT txid, list_reduce(bytes, lambda h, x: xor(h, x) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS h FROM b
+) SELECT txid, format('{{:016x}}', h::UBIGINT) AS fingerprint FROM h""",
+)
 def fnv_fingerprint(spark, d):
     return operations(spark, d).select("txid", encoding.fnv1a64(F.col("key")).alias("fingerprint"))
 
 
+from . import binary_queries  # noqa: E402, F401  registers its queries here
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _found.items()}
 
