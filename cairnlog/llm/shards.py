@@ -3,7 +3,7 @@
 Documents are dealt to shards by ranges of their id and sorted there. A shard
 is written by one task, block by block:
 
-    block   = zlib(entries); entry = varint shared, varint rest, rest of the
+    block   = zstd(entries); entry = varint shared, varint rest, rest of the
               key, varint bytes, ids as unsigned little-endian 16- or 32-bit
     index   = for each block: first key, place, size, crc32, documents and ids before it
     bloom   = bits over all keys
@@ -12,7 +12,8 @@ is written by one task, block by block:
 The key is the id's 8 bytes, sign bit flipped, behind 0 for null or 1, so
 bytes sort as ids do. Files appear under their names by a rename, so a task
 that runs again leaves the same file. Rows of one id sort by text.
-Null or empty text: the end id alone. Empty table: no shard, no rows.
+Null or empty text: the end id alone. Very long texts are one entry, in a
+block of their own size. Other columns aren't read. Empty table: no shard, no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from . import bpe
 from .common import batches, documents, filesystem, id_and_text, materialise, shared_dir, stream
 
 END = 2
-MAGIC = b"CRNSST01"
+MAGIC = b"CRNSST02"
 BLOCK_BYTES = 256 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQB7x8s")
@@ -79,6 +81,7 @@ class Writer:
 
     def __init__(self, out, width: int):
         self.out, self.width = out, width
+        self.packer = zstandard.ZstdCompressor(level=1)
         self.place = self.docs = self.ids = 0
         self.block, self.block_bytes, self.first, self.last = [], 0, b"", b""
         self.before = (0, 0)
@@ -111,7 +114,7 @@ class Writer:
 
     def _flush(self) -> None:
         if self.block:
-            data = zlib.compress(b"".join(self.block), 1)
+            data = self.packer.compress(b"".join(self.block))
             at, size = self._put(data)
             self.index.append((self.first, ENTRY.pack(at, size, zlib.crc32(data), *self.before)))
             self.block, self.block_bytes = [], 0
@@ -133,6 +136,7 @@ class Reader:
 
     def __init__(self, file):
         self.file = file
+        self.unpacker = zstandard.ZstdDecompressor()
         size = file.size()
         file.seek(size - FOOTER.size)
         ia, il, ba, bl, self.docs, self.ids, self.width, magic = FOOTER.unpack(file.read(FOOTER.size))
@@ -154,7 +158,7 @@ class Reader:
         data = self._at(place, size)
         if zlib.crc32(data) != crc:
             raise ValueError(f"block {i} is damaged")
-        raw, at, key = zlib.decompress(data), 0, b""
+        raw, at, key = self.unpacker.decompress(data), 0, b""
         while at < len(raw):
             shared, at = read_varint(raw, at)
             rest, at = read_varint(raw, at)
@@ -211,12 +215,12 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end: int = END,
         files, base = filesystem(folder)
         files.create_dir(base, recursive=True)
         name = f"{base}/shard-{number:06d}.sst"
-        first, last = held[0][0], None
+        first, last, last_id = held[0][0], None, int(end).to_bytes(4, "little")
         with files.open_output_stream(f"{name}.{attempt}") as out:
             w = Writer(out, width)
             while held:
                 for (doc_id, _), raw in zip(held, encode([t for _, t in held])):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end))
+                    ids = np.frombuffer(raw + last_id, "<u4")
                     if width == 2 and ids.max() > 0xFFFF:
                         raise ValueError("ids over 65535 need width 4")
                     w.add(doc_id, ids)
