@@ -14,12 +14,15 @@ from __future__ import annotations
 
 import gc
 import os
+from itertools import islice, repeat
 
 import numpy as np
 
 #: Cuts, and their characters, kept by a worker; beyond this the memo starts anew, which only costs time.
 MEMO, MEMO_CHARS = 900_000, 16 << 20
 NEWLINE = "\n"
+#: What the memo doesn't know yet; a length that no cut's ids have.
+UNSEEN = b"?"
 MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~\\")
 
 
@@ -64,12 +67,10 @@ class Encoder:
             self.memo[c] = None if c[-1:].isspace() else self.whole([" " + c])[0]
 
     def _need(self, cuts: set[str]) -> None:
-        if len(self.memo) > self.most or self.chars > MEMO_CHARS:
-            self.memo, self.chars = {}, 0
         memo = self.memo
         tails: dict[str, str] = {}
         new: set[str] = set()
-        for c in cuts.difference(memo):
+        for c in cuts:
             self.chars += len(c)
             if c[-1] in MARKS and c[:-1].isalpha():
                 stem = tails[c] = c[:-1]
@@ -94,40 +95,37 @@ class Encoder:
                 gc.enable()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        lines = []
-        need: set[str] = set()
+        lines, heads = [], {}
         for t in texts:
-            if any(x in t for x in self.special):
-                lines.append(None)
-                continue
-            rows = [row.split(" ") for row in t.split(NEWLINE)]
-            if any("" in row for row in rows):
-                lines.append(None)
-                continue
-            for row in rows:
-                need.update(row[1:])
+            rows = None if any(x in t for x in self.special) else [row.split(" ") for row in t.split(NEWLINE)]
+            if rows is not None and any("" in row for row in rows):
+                rows = None
             lines.append(rows)
-        need.discard("")
-        self._need(need)
-        memo = self.memo
-        first = {}
-        for rows in lines:
             if rows:
-                first.update(dict.fromkeys(row[0] for row in rows))
-        heads = dict(zip(first, self.whole(list(first))))
-        out = []
-        for t, rows in zip(texts, lines):
+                heads.update(dict.fromkeys(row[0] for row in rows))
+        heads = dict(zip(heads, self.whole(list(heads))))
+        if len(self.memo) > self.most or self.chars > MEMO_CHARS:
+            self.memo, self.chars = {}, 0
+        # Each cut is looked up once; those not there yet are learnt together and filled in.
+        look, found, holes = self.memo.get, [], []
+        for k, rows in enumerate(lines):
             got: list[bytes | None] = []
+            found.append(got)
             if rows is None or any(row[0][0].isspace() or row[0][-1].isspace() for row in rows):
                 got.append(None)
-            else:
-                for k, row in enumerate(rows):
-                    if k:
-                        got.append(self.line)
-                    got.append(heads[row[0]])
-                    got.extend(map(memo.__getitem__, row[1:]))
-            out.append(self.whole([t])[0] if None in got else b"".join(got))
-        return out
+                continue
+            for n, row in enumerate(rows):
+                if n:
+                    got.append(self.line)
+                got.append(heads[row[0]])
+                first = len(got) - 1
+                got.extend(map(look, islice(row, 1, None), repeat(UNSEEN)))
+                holes += [(got, i, row[i - first]) for i in range(first + 1, len(got)) if got[i] is UNSEEN]
+        self._need({c for _, _, c in holes})
+        memo = self.memo
+        for got, i, c in holes:
+            got[i] = memo[c]
+        return [self.whole([t])[0] if None in got else b"".join(got) for t, got in zip(texts, found)]
 
 
 _encoders: dict[str, Encoder] = {}
