@@ -97,7 +97,14 @@ def decode_segment(data: bytes, start: int = 0, verify_crc: bool = True) -> Deco
         _, _, kind, _, txid, key_len, payload_len = h
         frames.append(Frame(RECORD_TYPES[kind], txid, at, needed, at + HEADER_BYTES, key_len, payload_len))
         at += needed
-    if verify_crc and frames:
+    if verify_crc and len(frames) == 1:
+        # A read by position: one string, without laying out many.
+        f = frames[0]
+        end = f.offset + f.len - TRAILER_BYTES
+        if crc32c(data[f.offset : end]) != int.from_bytes(data[end : end + TRAILER_BYTES], "little"):
+            status, at, needed = CRC_MISMATCH, f.offset, f.len
+            frames.clear()
+    elif verify_crc and frames:
         raw = np.frombuffer(data, np.uint8)
         starts = np.array([f.offset for f in frames], np.int64)
         lengths = np.array([f.len - TRAILER_BYTES for f in frames], np.int64)

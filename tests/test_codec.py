@@ -113,3 +113,10 @@ def test_segment_numbers(tmp_path):
         fs.list_segments(str(tmp_path / "none"))
     with pytest.raises(LogError):
         fs.list_segments(str(tmp_path / "notes"))
+
+
+def test_single_checksums_are_those_of_many():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 3, 4, 5, 127, 128, 129, 300, 4095, 4096, 4097, 9000):
+        data = r.integers(0, 256, n).astype(np.uint8)
+        assert crc32c(data.tobytes()) == int(crc32c_many(data, np.array([0]), np.array([n]))[0])
