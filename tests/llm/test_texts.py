@@ -192,6 +192,23 @@ def test_threshold_holds_the_recall():
     assert net.measured["windows"] > 100 and net.measured["recall"] >= 0.95 and net.measured["precision"] >= 0.9
 
 
+def test_network_learns_from_all_rows(spark, monkeypatch):
+    """More documents and findings than any sample had, in one shard or many."""
+    keys = [hashlib.sha256(str(k).encode()).hexdigest()[:30] for k in range(7000)]
+    texts = [f"at {k} or mail.{n}@a{n}.example.com" for n, k in enumerate(keys)]
+    tenths = [[t for _, _, t in secrets.dealt(x, None)] for x in texts]
+    made = [t for x, m in secrets.examples(100) for _, _, t in secrets.dealt(x, m)]
+    assert secrets.train(texts, 300).measured["windows"] == sum(x.count(9) for x in tenths) + made.count(9)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:50])], "doc_id long, text string").repartition(3)
+    few, one = docs.where("doc_id < 400"), secrets.train(texts[:400], 300)
+    got = secrets.train_on(few, 300)
+    assert got.measured == one.measured and got.threshold == pytest.approx(one.threshold, rel=1e-6)
+    assert all(got.p[k] == pytest.approx(one.p[k], rel=1e-6, abs=1e-9) for k in one.p)
+    monkeypatch.setattr(secrets, "SHARD", 4000)
+    net = secrets.train_on(docs, 300)
+    assert net.measured["windows"] > sum(x.count(9) for x in tenths) and net.measured["recall"] >= 0.98 and net.measured["precision"] >= 0.98
+
+
 def test_windows_know_their_piece():
     rows = secrets.labelled([("x " + "a1" * 200 + " y", 1), ("plain", 0), ("k AbCdEfGhIjKlMnOpQrStUvWx", 0)])
     assert {k for _, _, k in rows} == {0, 2} and {m for _, m, k in rows if k == 0} == {1}
