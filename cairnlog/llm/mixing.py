@@ -113,15 +113,9 @@ def _laid_out(docs: DataFrame, weights: Sequence[int], most: int) -> tuple[DataF
     return materialise(_running(rows, "size", "place", group, ["shuffled", "row"], "begin").drop("shuffled"), "begun"), aims
 
 
-def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """row, print (of the input row) and times: how often each row stands in the mix.
-
-    Every source gives its whole target, to the word: full rounds of its
-    documents and then as many words of the shuffled order as are left. One
-    document is cut by that end and stands rounded; the words it then lacks, or
-    has too many, are made up by the documents behind, or before, it as far as
-    they fit. A source with a positive target gives one document at least."""
-    begun = _laid_out(docs, weights, most)[0]
+def _copies(begun: DataFrame) -> DataFrame:
+    """row, print, place, size, begin, source_size and times: how often each row
+    with words stands in the mix."""
     rows = begun.where("size > 0")
     rows = rows.withColumn("aim", F.greatest(F.round("target").cast("long"), F.lit(1)))
     rows = rows.withColumn("part", F.expr("greatest(0L, least(size, aim % source_size - begin))"))
@@ -134,11 +128,40 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST)
     more = F.expr("begin >= cut_end AND 2 * (begin - cut_end) + size <= 2 * owed")
     less = F.expr("begin + size <= cut_begin AND 2 * (cut_begin - begin - size) + size <= -2 * owed")
     change = F.when(more, 1).when(less, -1).otherwise(0)
-    rows = rows.select("row", "print", "place", "is_cut", (F.col("times") + change).alias("times"))
+    rows = rows.select("row", "print", "place", "size", "begin", "source_size", "is_cut", (F.col("times") + change).alias("times"))
     given = rows.groupBy("place").agg(F.sum("times").alias("given"))
     rows = rows.join(given, "place").withColumn("times", F.expr("IF(given = 0 AND is_cut, 1L, times)").cast("int"))
-    none = begun.where("size = 0").select("row", "print", F.lit(0).alias("times"))
-    return rows.select("row", "print", "times").unionByName(none)
+    return rows.drop("is_cut", "given")
+
+
+def arranged(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """row, print (of the input row) and turns, a row for each row of the input;
+    and the number of slots. A turn is a copy's slot of the schedule, its source's
+    place and the words before it in its source; turns sort to the mix's order.
+
+    Every source gives its whole target, to the word: full rounds of its
+    documents and then as many words of the shuffled order as are left. One
+    document is cut by that end and stands rounded; the words it then lacks, or
+    has too many, are made up by the documents behind, or before, it as far as
+    they fit. A source with a positive target gives one document at least.
+
+    These whole documents stand end to end and are spread over the source's
+    slots by words: a document begins in the slot that its first word falls into.
+    A source of so few words that it has no slot begins in one by its place."""
+    spark = docs.sparkSession
+    begun, aims = _laid_out(docs, weights, most)
+    rows = _copies(begun)
+    slots = materialise(schedule(spark, aims, block_words), "slots")
+    n = max(1, slots.count())
+    each = rows.where("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    each = materialise(each.select("row", "place", "size", F.expr("nth * source_size + begin").alias("before")), "turns")
+    facts = each.groupBy("place").agg(F.max(F.col("before") + F.col("size")).alias("words"))
+    facts = facts.join(slots.groupBy("place").agg(F.count(F.lit(1)).alias("slots")), "place", "left")
+    each = each.join(F.broadcast(facts), "place").withColumn("rank", F.expr("CAST(floor(CAST(before AS DOUBLE) * slots / words) AS BIGINT)"))
+    each = each.join(slots, ["place", "rank"], "left")
+    slot = F.coalesce("slot", F.pmod(F.xxhash64("place"), F.lit(n)))
+    turns = each.groupBy("row").agg(F.collect_list(F.struct(slot.alias("slot"), "place", "before")).alias("turns"))
+    return begun.select("row", "print").join(turns, "row", "left"), n
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -3,7 +3,8 @@
 toxicity       documents that the chain's score calls toxic go
 exact dedup    one row of each group of equal texts stays, the largest id
 near copies    one document of each component of the 5-word Jaccard join at 0.8 stays
-mixing         each source gives its whole target, in whole documents
+mixing         each source gives its whole target, in whole documents, in the order of
+               the schedule's slots; each file is a stretch of the mix
 packing        ids cut into power-of-two sequences
 
 Every stage but the last returns the columns of the documents. Nulls, empty
@@ -20,7 +21,7 @@ from cairnlog.llm import bpe
 from cairnlog.llm.common import materialise, unused
 from cairnlog.llm.exact_dedup import exact_dedup
 from cairnlog.llm.jaccard import similar
-from cairnlog.llm.mixing import copies
+from cairnlog.llm.mixing import arranged
 from cairnlog.llm.packing import pack
 from cairnlog.llm.parts import keep_rows, print_of
 from cairnlog.llm.toxicity import annotate, fit
@@ -28,6 +29,8 @@ from cairnlog.llm.toxicity import annotate, fit
 #: Near copies: words of a shingle, least similarity in percent.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 TOXIC = 0.5
+#: Slots of the mix in a file.
+FILE_SLOTS = 8192
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +49,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row, mark, told, times, nth = (unused(docs, c) for c in ("row", "print", "told", "times", "nth"))
-    often = copies(docs).select(F.col("row").alias(row), F.col("print").alias(told), F.col("times").alias(times))
-    found = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(mark, print_of()).join(often, row, "left")
+    row, mark, told, turns, turn = (unused(docs, c) for c in ("row", "print", "told", "turns", "turn"))
+    listed, slots = arranged(docs)
+    listed = listed.select(F.col("row").alias(row), F.col("print").alias(told), F.col("turns").alias(turns))
+    found = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(mark, print_of()).join(listed, row, "left")
     # Row numbers of two scans: a row without its partner, or with another one, ends the job.
     same = F.coalesce(F.col(mark) == F.col(told), F.lit(False))
-    often = F.when(same, F.col(times)).otherwise(F.raise_error(F.lit("the input's partitions changed between two passes")).cast("int"))
-    turns = F.when(often > 0, F.sequence(F.lit(1), often))
-    return found.withColumn(nth, F.explode(turns)).select(*docs.columns)
+    changed = F.raise_error(F.lit("the input's partitions changed between two passes")).cast(found.schema[turns].dataType)
+    found = found.withColumn(turn, F.explode(F.when(same, F.col(turns)).otherwise(changed)))
+    # Each partition is a stretch of the mix, in its order.
+    n = -(-slots // FILE_SLOTS)
+    stretch = F.expr(f"CAST({turn}.slot * {n} div {slots} AS INT)")
+    return found.select(*docs.columns, turn).repartitionById(n, stretch).sortWithinPartitions(turn).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -368,6 +368,28 @@ def test_pipeline_mix_keeps_a_source_of_one_long_document(spark):
     assert {r.source for r in corpus_pipeline.mix_sources(spark, docs, "").collect()} == {"a", "b", "c"}
 
 
+def test_pipeline_mix_is_in_the_schedule_s_order(spark, monkeypatch):
+    """Every stretch of the mix has the sources by their targets, however the input lies."""
+    r = random.Random(9)
+    rows = [(k, " ".join(["w"] * r.randrange(20, 400)), s) for k, s in enumerate("a" * 700 + "b" * 900 + "c" * 500)] + [(9999, "w w", "d")]
+    docs = corpus_pipeline.materialise(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), "sources")
+    aims = {x.source: x.target for x in mixing.mix(docs).collect()}
+    monkeypatch.setattr(corpus_pipeline, "FILE_SLOTS", 200, raising=False)
+    got = corpus_pipeline.mix_sources(spark, docs, "")
+    mixed = [(x.source, len(x.text.split())) for x in got.collect()]
+    whole, seen, total = sum(aims.values()), Counter(), 0
+    for k, (s, n) in enumerate(mixed):
+        seen[s] += n
+        total += n
+        assert all(abs(seen[x] - total * aims[x] / whole) <= 5 * 400 for x in "abc"), k
+    assert {s for s, _ in mixed} == set("abcd")
+    path = shared_dir(spark, "mixed")
+    got.write.parquet(path)
+    files = Counter(x.f for x in spark.read.parquet(path).selectExpr("input_file_name() AS f").collect())
+    assert len(files) > 3 and max(files.values()) < len(mixed) / 2
+    assert mixed == [(x.source, len(x.text.split())) for x in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+
+
 # Chat.
 def test_fold_of_events(spark):
     log = [
