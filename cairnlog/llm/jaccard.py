@@ -23,7 +23,8 @@ linear in the list. Of what the hubs leave apart, differences are listed: two
 sets x and y that link, of which one doesn't link to the hub h, share at least
 (|x - h| + |y - h| - d) / 2 elements of their differences from h, the elements
 that only one of x and h has, where |x - h| counts them and d is the largest
-difference that sets of these sizes may have. So in place of what a large
+difference that sets of these sizes may have; a member whose differences without
+its own elements are too few for that with any other is done. So in place of what a large
 group has in common, members are listed by their rarest differences, as many
 as the bound needs for each band of the other's distance; those lists have
 hubs again, and so on while comparing them in full would cost too much. Of
@@ -450,20 +451,22 @@ def _by_difference(apart: DataFrame, roots: DataFrame, percent: int) -> DataFram
     at = apart.join(roots, apart.row == roots.node, "left").withColumn("root", F.coalesce("root", "row")).drop("node")
     at = at.withColumn("band", F.floor(F.log("apart") / F.lit(float(np.log(1.25)))).cast("int"))
     bands = at.groupBy("hub", "band").agg(
-        F.min("apart").alias("lo"), F.max("apart").alias("hi"), F.max("size").cast("long").alias("most"), F.min("root").alias("r0"),
-        F.max("root").alias("r1"),
+        F.min("apart").alias("lo"), F.max(F.col("apart") - 2 * F.col("alone")).alias("reach"), F.max("size").cast("long").alias("most"),
+        F.min("root").alias("r0"), F.max("root").alias("r1"),
     )
     # One row for each hub, of as many bands as distances have.
     bands = bands.groupBy("hub").agg(
-        F.collect_list(F.struct("band", "lo", "hi", "most", "r0", "r1")).alias("bands"), F.min("r0").alias("r0"), F.max("r1").alias("r1")
+        F.collect_list(F.struct("band", "lo", "reach", "most", "r0", "r1")).alias("bands"), F.min("r0").alias("r0"), F.max("r1").alias("r1")
     ).where("r0 <> r1").select("hub", "bands")
 
     def furthest(other) -> Column:
         size = F.least(other["most"], F.floor(F.col("size") * 100 / percent))
         return F.floor((100 - percent) * (F.col("size") + size) / (100 + percent))
 
+    # Own elements are among the differences and can't be shared, so a pair differs by
+    # at least one's distance, less the other's, and twice the other's own elements.
     def within(other) -> Column:
-        near = (other["lo"] - F.col("apart") <= furthest(other)) & (F.col("apart") - other["hi"] <= furthest(other))
+        near = (other["lo"] - F.col("apart") + 2 * F.col("alone") <= furthest(other)) & (F.col("apart") - other["reach"] <= furthest(other))
         return near & ~((other["r0"] == F.col("root")) & (other["r1"] == F.col("root")))
 
     # Of each row only the bands in which a member of another component could link to it.

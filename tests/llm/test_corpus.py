@@ -216,6 +216,26 @@ def test_jaccard_of_one_large_group(spark, monkeypatch, n, percent, words, most)
     assert seen[0].count() < len(texts) ** 2 / 10
 
 
+def test_jaccard_lists_no_differences_that_own_elements_rule_out(spark, monkeypatch):
+    """Copies with many words of their own beside copies with one: none of the former can link."""
+    monkeypatch.setattr(jaccard, "boundary", lambda counts, p: 1)
+    seen, keep = [], jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: (seen.append(keep(df, name)) or seen[-1]) if name == "banded" else keep(df, name))
+    r = random.Random(4)
+    texts = []
+    for k in range(160):
+        copy = [f"w{i}" for i in range(150)]
+        for at in r.sample(range(1, 24), 1 if k < 30 else 5):
+            copy[6 * at] = f"z{k}x{at}"
+        texts.append(" ".join(copy))
+    root, _ = slow_components(texts, 5, 80)
+    assert root == [0] * 30 + list(range(30, 160))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in jaccard.similar(docs, 5, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+    assert seen and sum(x.count() for x in seen) == 0
+
+
 def test_jaccard_of_odd_rows(spark, odd):
     got = jaccard.similar(odd).collect()
     assert len(got) == len(ROWS)
