@@ -279,6 +279,25 @@ def test_bit_counts_are_exact():
     assert one.sum() == context_mixing.ORDERS * 8 * 3 * 7
 
 
+def test_words_that_begin_alike_share_their_bytes():
+    units = [context_mixing.unit(w) for w in (b"then", b"the", b"a", b"thesis", b"and", b"", b"then")]
+    times = np.array([5, 20, 3, 2, 7, 4, 1])
+    c = context_mixing.count_bits(units, times)
+    begun = Counter()
+    for u, n in zip(units, times.tolist()):
+        begun.update({u[: k + 1]: n for k in range(len(u))})
+    assert len(c.times) == len(begun) and sorted(c.times.tolist()) == sorted(begun.values())
+    assert c.at.shape == (context_mixing.ORDERS, len(begun))
+    # What they give is what each unit gives by itself.
+    m = context_mixing.Mixer(c)
+    assert m.score(units) == pytest.approx([m.score([u])[0] for u in units], rel=1e-6)
+    found = c.paths_of(c)
+    for last in (False, True):
+        each = [context_mixing.Counts([u], np.array([n])) for u, n in zip(units, times)]
+        apart = sum(m.sums(x, c.paths_of(x), last) for x in each)
+        assert m.sums(c, found, last) == pytest.approx(apart, rel=1e-4, abs=1e-3)
+
+
 def test_mixer_learns_from_all_training_rows(spark):
     """A long text alone mustn't train the mixer because its id is the lowest."""
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
