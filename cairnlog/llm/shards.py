@@ -21,7 +21,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -207,8 +206,8 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end: int = END,
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
         attempt = TaskContext.get().taskAttemptId()
-        rows = stream(it, "doc_id", "text")
-        held = list(islice(rows, 64))
+        rows = bpe.together(stream(it, "doc_id", "text"))
+        held = next(rows, None)
         if not held:
             return
         encode = bpe.encoder(vocabulary).ids
@@ -225,7 +224,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end: int = END,
                         raise ValueError("ids over 65535 need width 4")
                     w.add(doc_id, ids)
                     last = doc_id
-                held = list(islice(rows, 64))
+                held = next(rows, None)
             w.close()
         files.move(f"{name}.{attempt}", name)
         path = f"{folder.rstrip('/')}/shard-{number:06d}.sst"

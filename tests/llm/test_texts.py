@@ -48,6 +48,40 @@ def test_encoder_starts_its_memo_anew():
         assert e.ids([t, t]) == e.whole([t, t])
 
 
+def test_letters_are_encoded_once_and_without_the_pattern(monkeypatch):
+    """What the time goes to: cuts of letters don't pass the pattern, and no cut is encoded twice."""
+    texts = ["Plain words éclat and слова\nof letters words", "words and lines\nof letters"] * 20
+    e = bpe.Encoder(bpe.vocabulary())
+    want, seen, speller = e.whole(texts), [], e.speller
+
+    class Speller:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return speller.encode_batch_fast(texts, **more)
+
+    e.speller = Speller()
+    monkeypatch.setattr(e, "tokenizer", None)
+    assert e.ids(texts) == want and e.ids(texts) == want
+    # A word at a line's beginning is a cut of its own.
+    assert sorted(w for t in seen for w in t.split()) == sorted("Plain words words éclat and слова of letters lines".split())
+
+
+@given(st.lists(st.text(alphabet="abÀßÿĀɏЀяҁ×÷ªµ,.'\n \xa0\u0345", max_size=30), max_size=5))
+@settings(max_examples=150, deadline=None)
+def test_letters_that_stand_between_line_breaks(texts):
+    e = bpe.encoder(bpe.vocabulary())
+    assert e.apart and e.ids(texts) == e.whole(texts)
+    other = bpe.Encoder(bpe.vocabulary())
+    other.apart = False
+    assert other.ids(texts) == other.whole(texts)
+
+
+def test_rows_are_encoded_together():
+    rows = [(k, "word " * 5) for k in range(2 * bpe.TEXTS)] + [(-1, "x" * bpe.TEXT_CHARS), (-2, "")]
+    held = list(bpe.together(iter(rows)))
+    assert sum(held, []) == rows and [len(h) for h in held] == [bpe.TEXTS, bpe.TEXTS, 1, 1]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 1023, 1024, 1025, 5000])
 def test_lengths(n):
     got = packing.lengths(n)
