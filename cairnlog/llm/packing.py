@@ -56,14 +56,8 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = LONGEST, end: int = EN
         number = TaskContext.get().partitionId() << 33
 
         def pieces() -> Iterator[tuple]:
-            nonlocal number
-            held: list[tuple] = []
-            for doc_id, text in stream(it, "doc_id", "text"):
-                held.append((doc_id, text))
-                if len(held) == 64:
-                    yield from cut(held)
-                    held = []
-            yield from cut(held)
+            for held in bpe.together(stream(it, "doc_id", "text")):
+                yield from cut(held)
 
         def cut(held: list[tuple]) -> Iterator[tuple]:
             nonlocal number
