@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -332,6 +333,40 @@ def test_words_that_begin_alike_share_their_bytes():
         assert m.sums(c, found, last) == pytest.approx(apart, rel=1e-4, abs=1e-3)
 
 
+@given(st.lists(st.text(alphabet="aAÉéſK \n\t\x0b\x0c\r\x1c\x85\xa0\u3000.", max_size=20), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_words_of_texts(texts):
+    words, n = context_mixing.words_of(pa.array(["x", *texts], pa.string())[1:])
+    want = [t.encode().lower().split() for t in texts]
+    assert words.to_pylist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+    assert len(words.dictionary) == len(set(sum(want, [])))
+
+
+@pytest.mark.parametrize("dealt", [[7], [1] * 7, [3, 0, 4], [2, 5]])
+def test_blocks_follow_the_rows_however_they_come(monkeypatch, dealt):
+    """Both passes must see the same blocks: the row that fills one is its last."""
+    monkeypatch.setattr(context_mixing, "BLOCK_BYTES", 10)
+    monkeypatch.setattr(context_mixing, "SLICE_CHARS", 4)
+    texts = ["", "abc", "é" * 7, "", "x" * 50, "yz", ""]
+    ends = np.cumsum([0, *dealt])
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[a:b], pa.string())}) for a, b in zip(ends, ends[1:])]
+    got = [(k, t) for k, b in context_mixing.by_block(iter(batches)) for t in b.column("text").to_pylist()]
+    assert got == list(zip([0, 0, 0, 1, 1, 2, 2], texts))
+
+
+def test_counts_are_kept_for_the_passes(tmp_path):
+    """The passes read what they need of a block's counts, they don't make it again."""
+    units = [context_mixing.unit(w) for w in (b"then", b"the", b"a", b"thesis", b"and", b"", b"then")]
+    c = context_mixing.count_bits(units, np.array([5, 20, 3, 2, 7, 4, 0]))
+    c.keep(f"file://{tmp_path}/0", 3)
+    c.keep(f"file://{tmp_path}/0", 4)
+    assert [f.name for f in tmp_path.iterdir()] == ["0"]
+    kept, found, m = context_mixing.Counts.kept(f"file://{tmp_path}/0"), c.paths_of(c), context_mixing.Mixer(c)
+    for last in (False, True):
+        assert (m.sums(kept, found, last) == m.sums(c, found, last)).all()
+    assert (m.score_found(kept, found) == m.score_found(c, found)).all()
+
+
 def test_mixer_learns_from_all_training_rows(spark):
     """A long text alone mustn't train the mixer because its id is the lowest."""
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
