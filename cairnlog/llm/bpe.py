@@ -44,7 +44,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.speller = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        # Both share the model in memory.
+        self.speller = Tokenizer(self.tokenizer.model)
         self.speller.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         for t in (self.tokenizer, self.speller):
             t.model._resize_cache(0)
