@@ -36,11 +36,12 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def append_numbered(rows: DataFrame, path: str) -> None:
-    """The same for rows with their numbers (txid from 1, ascending over partitions)."""
+    """The same for rows with their numbers (txid from 1, ascending over
+    partitions). With a column segment, ascending too, a partition writes as many as it tells."""
     from ..sources.datasource import register
 
     register(rows.sparkSession)
-    _write(rows.select("txid", "record_type", "key", "payload").write.format("framedlog"), path)
+    _write(rows.select("txid", "record_type", "key", "payload", *{"segment"}.intersection(rows.columns)).write.format("framedlog"), path)
 
 
 def _write(writer: DataFrameWriter, path: str) -> None:

@@ -19,6 +19,8 @@ from ..sources.datasource import read_log
 from .eventlog import PER_SEGMENT, operations
 from .reference_queries import query
 
+#: Segments that one task writes: a share of all within two bounds.
+SHARES, LEAST, MOST = 64, 8, 256
 #: Bytes of a frame that a crash left behind, and the place in segment 1 of the frame that is damaged.
 TORN, DAMAGED = 11, 400
 
@@ -51,7 +53,8 @@ def _store(spark: SparkSession, sf_dir: str, torn: bool = True) -> str:
     last = rows.agg(F.max("segment")).first()[0] or 1
     files, base = fs.filesystem(path)
     files.create_dir(base, recursive=True)
-    dealt = rows.repartitionById(last, (F.col("segment") - 1).cast("int")).sortWithinPartitions("txid")
+    each = min(MOST, max(LEAST, -(-last // SHARES)))
+    dealt = rows.repartitionById(-(-last // each), F.floor((F.col("segment") - 1) / each).cast("int")).sortWithinPartitions("txid")
     derive.append_numbered(dealt, path)
     if torn:
         _edit(path, last, lambda data: data + encode_frame("Put", 1, b"key", b"payload")[:TORN])

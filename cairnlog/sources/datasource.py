@@ -1,7 +1,8 @@
 """The data source "framedlog": stores as DataFrames, DataFrames as segments,
 and a growing store as a stream.
 
-Reading, one task for each segment. Options:
+Reading, neighbouring segments share a task up to a bound of bytes; a segment
+isn't split. Options:
 
     path        folder of the store (or a URI)
     segments    comma-joined list to read instead of the folder's (a snapshot)
@@ -19,7 +20,9 @@ Reading, one task for each segment. Options:
 
 Writing, each task makes whole new segments; rows are record_type, key,
 payload, and the number as txid where the caller has it (`derive` counts first
-where it hasn't). commit() syncs and renames.
+where it hasn't). A task's rows are one segment, or with a column segment (from
+1, behind the store's last one, ascending over tasks) as many as it tells. Tasks
+sync what they wrote; commit() renames.
 
 Streaming, max_bytes_per_trigger ends a micro-batch at the first frame past it.
 """
@@ -30,26 +33,29 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
-from decimal import Decimal
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
-from ..model import CRC_MISMATCH, FRAME_SCHEMA, LOG_SCHEMA, OK, TRUNCATED, LogError
+from ..model import CRC_MISMATCH, FRAME_SCHEMA, HEADER_BYTES, LOG_SCHEMA, OK, RECORD_TYPES, TRUNCATED, LogError
 from . import fs
-from .codec import decode_segment, encode_frames, hop
+from .codec import decode_columns, decode_segment, encode_columns, encode_frames, hop, strings_at
 
 BATCH_BYTES = 8 << 20
+#: Bytes of a reading task: a share of the whole within two bounds. A file counts as so many more.
+SHARES, LEAST_BYTES, MOST_BYTES, FILE_BYTES = 64, 1 << 20, 16 << 20, 1 << 14
 LOG_ARROW = pa.schema(
     [
         ("segment", pa.int64()), ("offset", pa.int64()), ("len", pa.int64()), ("record_type", pa.string()),
         ("txid", pa.decimal128(20, 0)), ("key", pa.binary()), ("payload", pa.binary()),
     ]
 )
+KINDS = pa.array([RECORD_TYPES.get(k) for k in range(max(RECORD_TYPES) + 1)])
 FRAME_ARROW = pa.schema([*LOG_ARROW, ("status", pa.string()), ("available", pa.int64()), ("needed", pa.int64())])
 
 
@@ -62,33 +68,52 @@ class SegmentPart(InputPartition):
     end: int | None = None
 
 
+@dataclass
+class SharedPart(InputPartition):
+    """Neighbouring segments that one task reads, in their order."""
+
+    parts: list[SegmentPart]
+
+
+def shared(parts: list[SegmentPart], sizes: list[int]) -> list[SharedPart]:
+    """At least one, so that an empty store has a plan."""
+    most = min(MOST_BYTES, max(LEAST_BYTES, sum(sizes) // SHARES))
+    out, held = [SharedPart([])], 0
+    for p, size in zip(parts, sizes):
+        if held and held + size + FILE_BYTES > most:
+            out.append(SharedPart([]))
+            held = 0
+        out[-1].parts.append(p)
+        held += size + FILE_BYTES
+    return out
+
+
 def segment_batches(uri: str, part: SegmentPart, frames: bool, verify: bool, payload: bool) -> Iterator[pa.RecordBatch]:
     """A segment's rows. A torn tail of the last segment ends it; other damage
     raises, unless frames are asked for: then it is a row of its own."""
     data = fs.read_bytes(uri, part.path)[: part.end]
-    found = decode_segment(data, part.start, verify)
+    found = decode_columns(data, part.start, verify)
     schema = FRAME_ARROW if frames else LOG_ARROW
-    rows: list[tuple] = []
-    size = 0
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    for f in found.frames:
-        a = f.key_at + f.key_len
-        row = (part.segment, f.offset, f.len, f.record_type, Decimal(f.txid), data[f.key_at : a], data[a : a + f.payload_len] if payload else None)
-        rows.append((*row, OK, None, None) if frames else row)
-        size += f.len + 64
-        if size >= BATCH_BYTES:
-            yield batch()
-            rows, size = [], 0
+    sizes = found.sizes
+    for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes + 64) // BATCH_BYTES)) + 1) if len(sizes) else ():
+        starts, heads, n = found.starts[some], found.heads[some], len(some)
+        key_at, key_len = starts + HEADER_BYTES, heads["key_len"].astype(np.int64)
+        txids = np.zeros((n, 2), "<u8")  # a decimal is a number of 128 bits
+        txids[:, 0] = heads["txid"]
+        columns = [
+            pa.array(np.full(n, part.segment)), pa.array(starts), pa.array(sizes[some]), KINDS.take(pa.array(heads["kind"])),
+            pa.Array.from_buffers(pa.decimal128(20, 0), n, [None, pa.py_buffer(txids)]), strings_at(data, key_at, key_len),
+            strings_at(data, key_at + key_len, heads["payload_len"].astype(np.int64)) if payload else pa.nulls(n, pa.binary()),
+        ]
+        if frames:
+            columns += [pa.repeat(OK, n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
     if found.status != OK:
         if frames:
-            rows.append((part.segment, found.offset, found.available, None, None, None, None, found.status, found.available, found.needed))
+            row = (part.segment, found.offset, found.available, None, None, None, None, found.status, found.available, found.needed)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
         elif not (part.is_last and found.status in (TRUNCATED, CRC_MISMATCH)):
             raise LogError(f"{found.status} at offset {found.offset} of segment {part.segment}")
-    if rows:
-        yield batch()
 
 
 def _truth(text: str) -> bool:
@@ -110,7 +135,7 @@ class LogReaderSource(DataSourceReader):
         self.since = {int(n): int(at) for n, at in since}
         self.low, self.high = int(options.get("from_segment", 0)), int(options.get("to_segment", 1 << 62))
 
-    def partitions(self) -> list[SegmentPart]:
+    def partitions(self) -> list[SharedPart]:
         found = fs.list_segments(self.uri)
         if self.only is not None:
             there = {n: (n, p, s) for n, p, s in found}
@@ -119,14 +144,13 @@ class LogReaderSource(DataSourceReader):
                 raise LogError(f"segments are gone: {missing}")
             found = [there[n] for n in sorted(self.only)]
         last = found[-1][0] if found else None
-        parts = [SegmentPart(n, p, n == last, self.since.get(n, 0)) for n, p, _ in found]
         if self.mode != "strict":
-            parts = [p for p in parts if self.low <= p.segment <= self.high]
-        return parts or [SegmentPart(-1, "", True)]
+            found = [x for x in found if self.low <= x[0] <= self.high]
+        return shared([SegmentPart(n, p, n == last, self.since.get(n, 0)) for n, p, _ in found], [size for _, _, size in found])
 
-    def read(self, partition: SegmentPart) -> Iterator[pa.RecordBatch]:
-        if partition.segment >= 0:
-            yield from segment_batches(self.uri, partition, self.mode == "frames", self.verify, self.payload)
+    def read(self, partition: SharedPart) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from segment_batches(self.uri, part, self.mode == "frames", self.verify, self.payload)
 
 
 class LogStream(DataSourceStreamReader):
@@ -163,18 +187,18 @@ class LogStream(DataSourceStreamReader):
                 self.ends.setdefault(n, 0)
         return {str(n): at for n, at in sorted(self.ends.items())}
 
-    def partitions(self, start: dict, end: dict) -> list[SegmentPart]:
+    def partitions(self, start: dict, end: dict) -> list[SharedPart]:
         files = {n: p for n, p, _ in fs.list_segments(self.uri)}
         for n, at in end.items():
             self.ends[int(n)] = max(self.ends.get(int(n), 0), at)
         parts = [
             SegmentPart(int(n), files[int(n)], False, start.get(n, 0), at) for n, at in end.items() if at > start.get(n, 0)
         ]
-        return parts or [SegmentPart(-1, "", True)]
+        return shared(parts, [p.end for p in parts])
 
-    def read(self, partition: SegmentPart) -> Iterator[pa.RecordBatch]:
-        if partition.segment >= 0:
-            yield from segment_batches(self.uri, partition, False, True, True)
+    def read(self, partition: SharedPart) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from segment_batches(self.uri, part, False, True, True)
 
     def commit(self, end: dict) -> None:
         pass
@@ -187,6 +211,7 @@ class Written(WriterCommitMessage):
     records: int
     low: int
     high: int
+    made: list[tuple[int, str]] = field(default_factory=list)  # segments and their files, where rows tell the segment
 
 
 def frame_is_whole(f, at: int, end: int) -> bool:
@@ -213,14 +238,14 @@ def last_txid(uri: str) -> int:
 
 
 class LogWriter(DataSourceArrowWriter):
-    """A task's frames get their last numbers as they are written, so commit()
-    renames files and reads none. Numbers are the column txid (ascending over
+    """A task's frames get their last numbers as they are written and its files
+    are synced there, so commit() renames files and reads none. Numbers are the column txid (ascending over
     tasks, from 1, behind the store's last one) or, by the option bases, a
     task's number of rows before it and its own. Without either a task can't
     know, and commit() renumbers all but the first file."""
 
-    def __init__(self, options: dict[str, str], overwrite: bool, numbered: bool = False):
-        self.uri, self.overwrite, self.numbered = options["path"], overwrite, numbered
+    def __init__(self, options: dict[str, str], overwrite: bool, numbered: bool = False, told: bool = False):
+        self.uri, self.overwrite, self.numbered, self.told = options["path"], overwrite, numbered, told
         self.folder = f".staging-{uuid.uuid4().hex}"
         self.bases = {int(k): v for k, v in json.loads(options["bases"]).items()} if "bases" in options else None
         self.behind = last_txid(self.uri)
@@ -233,21 +258,41 @@ class LogWriter(DataSourceArrowWriter):
         task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         before, told = self.bases.get(task, (0, 0)) if self.bases is not None else (0, None)
         name, n, low, high = f"{base}/{self.folder}/{task:08d}-{attempt}", 0, 0, self.behind
-        with files.open_output_stream(name) as out:
+        made, out = [] if self.told else [(0, name)], None if self.told else files.open_output_stream(name)
+        try:
             for b in iterator:
-                column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
-                types, keys, payloads = (column(c) for c in ("record_type", "key", "payload"))
+                if not b.num_rows:
+                    continue
+                column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
                 first = self.behind + before + n + 1
-                numbers = [self.behind + int(x) for x in column("txid")] if self.numbered else range(first, first + len(types))
-                for x in numbers:
-                    if x <= high:
-                        raise LogError("numbers must ascend")
-                    low, high = low or x, x
-                out.write(b"".join(encode_frames([(t, x, k or b"", p or b"") for t, x, k, p in zip(types, numbers, keys, payloads)])))
-                n += len(types)
+                numbers = _numbers(column("txid"), self.behind) if self.numbered else np.arange(first, first + b.num_rows, dtype=np.uint64)
+                if int(numbers[0]) <= high or (numbers[1:] <= numbers[:-1]).any():
+                    raise LogError("numbers must ascend")
+                low, high = low or int(numbers[0]), int(numbers[-1])
+                data, ends = encode_columns(column("record_type"), numbers, column("key"), column("payload"))
+                n += b.num_rows
+                segments = _numbers(column("segment"), 0) if self.told else np.zeros(b.num_rows, np.uint64)
+                cuts, begin = [*(np.flatnonzero(np.diff(segments)) + 1), b.num_rows], 0
+                for cut in cuts:
+                    segment, end = int(segments[cut - 1]), int(ends[cut - 1])
+                    if self.told and (not made or made[-1][0] != segment):
+                        if segment <= (made[-1][0] if made else 0):
+                            raise LogError("segments must ascend from 1")
+                        if out:
+                            out.close()
+                        made.append((segment, f"{name}-{segment}"))
+                        out = files.open_output_stream(made[-1][1])
+                    out.write(pa.py_buffer(data[begin:end]))
+                    begin = end
+        finally:
+            if out:
+                out.close()
         if told is not None and n != told:
             raise LogError("the rows were dealt otherwise than when they were counted")
-        return Written(task, name, n, low, high)
+        if files.type_name == "local":
+            for _, path in made:
+                _sync(path)
+        return Written(task, name, n, low, high, made if self.told else [])
 
     def commit(self, messages: list[Written | None]) -> None:
         from .store import DirLock, sync_dir
@@ -266,21 +311,25 @@ class LogWriter(DataSourceArrowWriter):
                     if m.low <= high:
                         raise LogError("numbers must ascend over tasks")
                     high = m.high
-            for m in whole:
+            named = [(number - 1 + segment, file) for m in whole for segment, file in m.made]
+            if any(b[0] <= a[0] for a, b in zip(named, named[1:])):
+                raise LogError("segments must ascend over tasks")
+            for segment, file in named:
+                files.move(file, f"{base}/{fs.segment_name(segment)}")
+            for m in whole if not self.told else ():
                 target = f"{base}/{fs.segment_name(number)}"
                 if known or high == self.behind:
                     files.move(m.file, target)
                 else:
                     _renumber(files, m.file, target, high - self.behind)
+                    made.append(target)
                 if not known:
                     high += m.records
-                made.append(target)
                 number += 1
             self.abort(messages)
             if local:
                 for path in made:
-                    with open(path, "rb") as f:
-                        os.fsync(f.fileno())
+                    _sync(path)
                 sync_dir(base)
         finally:
             if lock:
@@ -292,6 +341,25 @@ class LogWriter(DataSourceArrowWriter):
             files.delete_dir(f"{base}/{self.folder}")
 
 
+def _sync(path: str) -> None:
+    with open(path, "rb") as f:
+        os.fsync(f.fileno())
+
+
+def _numbers(column: pa.Array, behind: int) -> np.ndarray:
+    """behind + each, in 64 bits without sign."""
+    if column.null_count:
+        raise LogError("numbers must not be null")
+    if pa.types.is_integer(column.type):
+        got = column.to_numpy(zero_copy_only=False)
+        if len(got) and 0 <= got.min() and int(got.max()) + behind < 1 << 64:
+            return got.astype(np.uint64) + np.uint64(behind)
+    got = [behind + int(x) for x in column.to_pylist()]
+    if not all(0 <= x < 1 << 64 for x in got):
+        raise LogError("numbers have 64 bits")
+    return np.array(got, np.uint64)
+
+
 def _renumber(files, source: str, target: str, add: int) -> None:
     with files.open_input_file(source) as f:
         data = f.read()
@@ -325,7 +393,9 @@ class FramedLog(DataSource):
             raise LogError(f"columns are missing: {sorted(missing)}")
         if overwrite:
             raise LogError("a log is only appended to")
-        return LogWriter(dict(self.options), overwrite, "txid" in schema.names)
+        if "segment" in schema.names and not ("txid" in schema.names or "bases" in self.options):
+            raise LogError("rows that tell their segment need numbers")
+        return LogWriter(dict(self.options), overwrite, "txid" in schema.names, "segment" in schema.names)
 
 
 def register(spark) -> None:
