@@ -48,9 +48,10 @@ def _write(writer: DataFrameWriter, path: str) -> None:
     writer.option("path", path).mode("append").save()
 
 
-def compact_to(log: DataFrame, path: str, segments: int = 1) -> None:
+def compact_to(log: DataFrame, path: str, segments: int = 1, heads: DataFrame | None = None) -> None:
     """A new store with one put for each live key, in key order from number 1.
-    One segment by default; more are written in parallel, by ranges of keys."""
+    One segment by default; more are written in parallel, by ranges of keys.
+    heads: the same log read without payloads, which places don't need."""
     from ..sources.fs import filesystem
 
     files, base = filesystem(path)
@@ -64,7 +65,7 @@ def compact_to(log: DataFrame, path: str, segments: int = 1) -> None:
         raise LogError(f"not a directory: {path}")
     files.create_dir(base, recursive=True)
     # Keys are ranked by their references; payloads move once, to the segment that takes them.
-    refs = keydir(log).select("key", "segment", "offset").persist()
+    refs = keydir(log if heads is None else heads).select("key", "segment", "offset").persist()
     try:
         n = refs.count()
         ranked = running(refs, "key", ranges=max(1, -(-n // RANGE_KEYS))).select("segment", "offset", F.col("rank").alias("number"))

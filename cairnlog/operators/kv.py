@@ -41,9 +41,10 @@ def items(log: DataFrame) -> DataFrame:
     return last.where("record_type = 'Put'").select("key", "value")
 
 
-def items_by_reference(log: DataFrame) -> DataFrame:
-    """The same for large payloads: find the places first, then fetch them."""
-    refs = keydir(log).select("key", "segment", "offset")
+def items_by_reference(log: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """The same for large payloads: find the places first (in heads, the same
+    log read without payloads, where there is one), then fetch them."""
+    refs = keydir(log if heads is None else heads).select("key", "segment", "offset")
     return refs.join(log.select("segment", "offset", F.col("payload").alias("value")), ["segment", "offset"]).select("key", "value")
 
 

@@ -72,7 +72,8 @@ def binary_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("binary_items", "SELECT hex(encode(key)) AS key, hex(encode(payload)) AS value FROM K")
 def binary_items(spark: SparkSession, d: str) -> DataFrame:
-    return kv.items_by_reference(read_log(spark, _store(spark, d), mode="lazy")).select(F.hex("key").alias("key"), F.hex("value").alias("value"))
+    path = _store(spark, d)
+    return kv.items_by_reference(read_log(spark, path, mode="lazy"), read_log(spark, path, mode="lazy", payload="false")).select(F.hex("key").alias("key"), F.hex("value").alias("value"))
 
 
 def _frames(spark: SparkSession, path: str) -> DataFrame:
@@ -131,5 +132,6 @@ def binary_damage(spark: SparkSession, d: str) -> DataFrame:
 def binary_compact(spark: SparkSession, d: str) -> DataFrame:
     """Compacted to a new store of four segments and read back."""
     target = _folder(spark)
-    derive.compact_to(read_log(spark, _store(spark, d)), target, segments=4)
+    path = _store(spark, d)
+    derive.compact_to(read_log(spark, path), target, segments=4, heads=read_log(spark, path, mode="lazy", payload="false"))
     return read_log(spark, target).select(F.hex("key").alias("key"), F.col("txid").cast("long").alias("txid"), "len")
