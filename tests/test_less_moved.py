@@ -14,3 +14,13 @@ def test_places_are_found_without_payloads(spark, monkeypatch):
     assert len(seen) == 2
     for df in seen:
         assert df.count() > 0 and df.where("payload is not null").count() == 0
+
+
+def test_check_and_reports_read_no_payloads(spark, monkeypatch):
+    seen, check, report = [], kv.check, binary_queries.log.recovery_report
+    monkeypatch.setattr(kv, "check", lambda df, r: seen.append(df) or check(df, r))
+    monkeypatch.setattr(binary_queries.log, "recovery_report", lambda df, *a: seen.append(df) or report(df, *a))
+    assert binary_queries.binary_check(spark, SF).first().keys_checked > 0
+    assert len(seen) == 2
+    for df in seen:
+        assert df.where("key is not null").count() > 0 and df.where("payload is not null").count() == 0
