@@ -17,6 +17,8 @@ isn't split. Options:
                 a row with its status
     verify_crc  true (default) or false
     payload     true (default), or false for null payloads
+    whole       true (default), or false to leave out whole frames once they are
+                checked, so that frames are rows of damage alone
 
 Writing, each task makes whole new segments; rows are record_type, key,
 payload, and the number as txid where the caller has it (`derive` counts first
@@ -88,14 +90,14 @@ def shared(parts: list[SegmentPart], sizes: list[int]) -> list[SharedPart]:
     return out
 
 
-def segment_batches(uri: str, part: SegmentPart, frames: bool, verify: bool, payload: bool) -> Iterator[pa.RecordBatch]:
+def segment_batches(uri: str, part: SegmentPart, frames: bool, verify: bool, payload: bool, whole: bool = True) -> Iterator[pa.RecordBatch]:
     """A segment's rows. A torn tail of the last segment ends it; other damage
     raises, unless frames are asked for: then it is a row of its own."""
     data = fs.read_bytes(uri, part.path)[: part.end]
     found = decode_columns(data, part.start, verify)
     schema = FRAME_ARROW if frames else LOG_ARROW
     sizes = found.sizes
-    for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes + 64) // BATCH_BYTES)) + 1) if len(sizes) else ():
+    for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes + 64) // BATCH_BYTES)) + 1) if whole and len(sizes) else ():
         starts, heads, n = found.starts[some], found.heads[some], len(some)
         key_at, key_len = starts + HEADER_BYTES, heads["key_len"].astype(np.int64)
         txids = np.zeros((n, 2), "<u8")  # a decimal is a number of 128 bits
@@ -130,6 +132,7 @@ class LogReaderSource(DataSourceReader):
         if self.mode not in ("strict", "lazy", "frames"):
             raise LogError(f"unknown mode {self.mode!r}")
         self.verify, self.payload = _truth(options.get("verify_crc", "true")), _truth(options.get("payload", "true"))
+        self.whole = _truth(options.get("whole", "true"))
         self.only = [int(x) for x in options["segments"].split(",") if x] if "segments" in options else None
         since = (x.split(":") for x in options.get("since", "").split(",") if x)
         self.since = {int(n): int(at) for n, at in since}
@@ -150,7 +153,7 @@ class LogReaderSource(DataSourceReader):
 
     def read(self, partition: SharedPart) -> Iterator[pa.RecordBatch]:
         for part in partition.parts:
-            yield from segment_batches(self.uri, part, self.mode == "frames", self.verify, self.payload)
+            yield from segment_batches(self.uri, part, self.mode == "frames", self.verify, self.payload, self.whole)
 
 
 class LogStream(DataSourceStreamReader):
@@ -416,7 +419,7 @@ def read_log(spark, path: str, mode: str = "strict", **options: str):
         return spark.read.format("framedlog").options(**fixed, **more).load()
 
     if mode == "strict":
-        check_frames(load(mode="frames", payload="false"), frozen[-1] if frozen else None)
+        check_frames(load(mode="frames", payload="false", whole="false"), frozen[-1] if frozen else None)
     return load(mode="frames" if mode == "frames" else "lazy", **options)
 
 

@@ -1,6 +1,6 @@
 """What doesn't need payloads or whole frames isn't handed them."""
 
-from cairnlog.operators import derive, kv
+from cairnlog.operators import derive, kv, log
 from cairnlog.plans import binary_queries
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +24,10 @@ def test_check_and_reports_read_no_payloads(spark, monkeypatch):
     assert len(seen) == 2
     for df in seen:
         assert df.where("key is not null").count() > 0 and df.where("payload is not null").count() == 0
+
+
+def test_strict_check_is_handed_damage_alone(spark, monkeypatch):
+    seen, check = [], log.check_frames
+    monkeypatch.setattr(log, "check_frames", lambda frames, last: seen.append(frames) or check(frames, last))
+    assert binary_queries.binary_scan(spark, SF).count() == 1000
+    assert [r.status for r in seen[0].collect()] == ["truncated"]  # the torn tail
